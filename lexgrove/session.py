@@ -1,4 +1,4 @@
-"""Getting the library to the executors."""
+"""Getting the library to the executors, and ending lineage in storage that they share."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -25,3 +25,11 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, Path("lexgrove") / p.relative_to(root))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as rows in the folder of spark.checkpoint.dir, or in one of our own where that is unset (tests)."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lexgrove-"))
+    return df.checkpoint()

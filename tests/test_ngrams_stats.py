@@ -1,0 +1,112 @@
+import math
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexgrove.operators import ngrams, stats
+
+
+def docs(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_counts(spark):
+    rows = ngrams.counts(docs(spark, "a b a b", "a", None), 2).collect()
+    assert {(r[0], r[1]): r[2] for r in rows} == {(0, "a b"): 2, (0, "b a"): 1}
+
+
+def test_last_text_of_a_period_wins_and_empty_periods_stay(spark):
+    df = spark.createDataFrame([(0, "x y", "p"), (1, "y z", "p"), (2, "q", "e")], "ord long, text string, period string")
+    got = {tuple(r) for r in ngrams.counts_by_period(df, 2, "period", "ord").collect()}
+    assert got == {("p", "y z", 1), ("e", None, 0)}
+    both = {tuple(r) for r in ngrams.counts_by_period(df, 2, "period", "ord", mode="sum").collect()}
+    assert both == {("p", "x y", 1), ("p", "y z", 1), ("e", None, 0)}
+    with pytest.raises(ValueError):
+        ngrams.counts_by_period(df, 2, "period", "ord", mode="first")
+
+
+def brute_cooccurrence(text, n):
+    w = text.split()
+    node = {x: i for i, x in enumerate(w)}
+    out = Counter()
+    for s in range(len(w) - n + 1):
+        for i in range(s, s + n):
+            for j in range(i + 1, s + n):
+                out[node[w[i]], node[w[j]]] += 1
+    return dict(out)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5])
+def test_cooccurrence_is_the_sum_over_windows(spark, n):
+    texts = ["the quick brown fox jumps over the lazy dog", "a a b a", "x", ""]
+    got = {}
+    for r in ngrams.cooccurrence(docs(spark, *texts), n).collect():
+        got.setdefault(r["doc_id"], {})[r["src"], r["dst"]] = r["weight"]
+    assert got == {i: b for i, t in enumerate(texts) if (b := brute_cooccurrence(t, n))}
+
+
+def test_pangram(spark):
+    got = {(r.src, r.dst, r.weight) for r in ngrams.cooccurrence(docs(spark, "the quick brown fox jumps over the lazy dog"), 2).collect()}
+    assert got == {(a, b, 1.0) for a, b in [(6, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (6, 7), (7, 8)]}
+
+
+def series(spark, **rows):
+    return spark.createDataFrame([(k, i, x) for k, v in rows.items() for i, x in enumerate(v)], "s string, i long, x long")
+
+
+def test_describe(spark):
+    r = stats.describe(series(spark, a=[1, 2, 3, 10]), "s").first()
+    assert (r.mean, r.variance, r.median, r.range) == (4.0, 12.5, 2.5, 9) and r.std_dev == pytest.approx(math.sqrt(12.5))
+
+
+def test_growth_after_zero_is_null(spark):
+    got = [r.growth for r in stats.growth(series(spark, a=[2, 3, 0, 5]), "s", "i").orderBy("i").collect()]
+    assert got == [50.0, -100.0, None]
+
+
+def test_correlation_of_a_constant_is_nan(spark):
+    df = spark.createDataFrame([("k", 1.0, 5.0), ("k", 2.0, 5.0)], "k string, x double, y double")
+    r = stats.covariance_and_correlation(df, ["k"]).first()
+    assert r.covariance == 0 and math.isnan(r.correlation)
+
+
+def dist(spark, **d):
+    return spark.createDataFrame([(k, n, p) for k, v in d.items() for n, p in v.items()], "period string, ngram string, p double")
+
+
+def test_divergences_of_disjoint_distributions(spark):
+    d = dist(spark, p={"a": 1.0}, q={"b": 1.0})
+    kl = {(r.p_key, r.q_key): r.kl for r in stats.kl_divergence(d, "period").collect()}
+    js = {(r.p_key, r.q_key): r.js for r in stats.js_divergence(d, "period").collect()}
+    sym = {(r.p_key, r.q_key): r.js for r in stats.js_divergence(d, "period", symmetric=True).collect()}
+    assert kl["p", "q"] == 0 and js["p", "q"] == 0.5 and sym["p", "q"] == 1.0 and sym["p", "p"] == pytest.approx(0)
+
+
+def brute_js(p, q):
+    kl = lambda a, b: sum(x * math.log2(x / b[k]) for k, x in a.items() if x > 0 and b.get(k, 0) > 0)
+    m = {k: (x + q.get(k, 0)) / 2 for k, x in p.items()}
+    return (kl(p, m) + kl(q, m)) / 2
+
+
+def test_js_is_asymmetric_as_defined(spark):
+    p, q = {"a": 0.5, "b": 0.25, "c": 0.25}, {"a": 0.1, "d": 0.9}
+    js = {(r.p_key, r.q_key): r.js for r in stats.js_divergence(dist(spark, p=p, q=q), "period").collect()}
+    assert js["p", "q"] == pytest.approx(brute_js(p, q)) and js["q", "p"] == pytest.approx(brute_js(q, p))
+
+
+def test_entropy_and_mode(spark):
+    d = dist(spark, p={"a": 0.5, "b": 0.5, "z": 0.0})
+    assert stats.entropy(d, "period").first().entropy == 1.0
+    assert stats.mode(d, "period").first().ngram == "b"
+
+
+def test_analyze_of_nothing(spark):
+    empty = spark.createDataFrame([], "key string, ngram string, cnt long")
+    assert stats.analyze(empty, "key").collect() == []
+
+
+def test_shares_add_up(spark):
+    c = ngrams.counts(docs(spark, "a b a b c", "d e"), 2)
+    total = ngrams.shares(c, "doc_id").groupBy("doc_id").agg(F.sum("p").alias("t")).collect()
+    assert all(r.t == pytest.approx(1) for r in total)

@@ -1,0 +1,63 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexgrove.functions import text as T
+from lexgrove.functions import vector as V
+from lexgrove.operators import topics
+from lexgrove.plans import topic_model
+
+
+def test_tfidf(spark):
+    docs = spark.createDataFrame([(0, "I love Rust programming."), (1, "Rust is great for system programming.")], "doc_id long, text string")
+    bags = topics.bag_by(docs.select("doc_id", T.tokens(F.lower("text")).alias("words")))
+    got = {(r.doc_id, r.token): r.tfidf for r in topics.tfidf(bags, docs.agg(F.count("*").alias("n"))).collect()}
+    assert got[0, "rust"] == got[1, "programming."] == 0
+    assert got[0, "love"] == pytest.approx(math.log(2) / 4) and got[1, "great"] == pytest.approx(math.log(2) / 6)
+    assert len({t for _, t in got}) == 8
+
+
+def test_bag_maps(spark):
+    bags = spark.createDataFrame([(1, "b", 2), (1, "a", 1)], "doc_id long, token string, cnt long")
+    assert topics.bag_maps(bags).first().bag == {"a": 1, "b": 2}
+
+
+@pytest.mark.parametrize(("a", "b", "want"), [([1.0, 0.0], [1.0, 1.0], 1 / math.sqrt(2)), ([0.0], [1.0], math.nan), ([1.0, 2.0], [1.0], 1 / math.sqrt(5))])
+def test_cosine(spark, a, b, want):
+    got = spark.createDataFrame([(a, b)], "a array<double>, b array<double>").select(V.cosine(F.col("a"), F.col("b"))).first()[0]
+    assert math.isnan(got) if math.isnan(want) else got == pytest.approx(want)
+
+
+def test_kmeans_matches_a_plain_loop(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 3)) + np.repeat(np.eye(3) * 6, 20, axis=0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "vec_id long, v array<double>")
+    got, c = topics.kmeans(df, initial=x[[0, 20, 40]])
+    ref = x[[0, 20, 40]].copy()
+    for _ in range(100):
+        who = ((x[:, None] - ref[None]) ** 2).sum(axis=2).argmin(axis=1)
+        new = np.stack([x[who == k].mean(axis=0) for k in range(3)])
+        if np.abs(new - ref).max() < 1e-4:
+            ref = new
+            break
+        ref = new
+    assert np.allclose(c, ref) and {r.vec_id: r.cluster for r in got.collect()} == dict(enumerate(who.tolist()))
+
+
+def test_kmeans_of_nothing(spark):
+    df = spark.createDataFrame([], "vec_id long, v array<double>")
+    assert topics.kmeans(df)[0].count() == 0
+
+
+def test_nearest_takes_the_lower_cluster_of_equals(spark):
+    v = spark.createDataFrame([(1, [0.0, 0.0])], "vec_id long, v array<double>")
+    c = spark.createDataFrame([(1, [1.0, 0.0]), (0, [-1.0, 0.0])], "cluster int, c array<double>")
+    assert topics.nearest(v, c, "vec_id").first().cluster == 0 == topics.assign(v, c, "vec_id").first().cluster
+
+
+def test_topic_model(spark):
+    docs = spark.createDataFrame([(i, ("apple pear plum " if i % 2 else "iron steel tin ") * (1 + i % 3)) for i in range(12)] + [(50, "")], "doc_id long, text string")
+    assigned, clusters = topic_model.fit(docs, topic_model.TopicConfig(clusters=2, topics=3, dims=64, seed=1))
+    assert assigned.count() == 12 and sum(r["size"] for r in clusters.collect()) == 12
