@@ -110,44 +110,85 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
+def _all_pairs(ids: np.ndarray, f: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows linked to the smallest id of their component, after comparing all pairs."""
+    m = len(ids)
+    label = np.arange(m)
+    near = []
+    for i in range(0, m, 256):
+        d = np.bitwise_count(f[i : i + 256, None, :] ^ f[None]).sum(axis=2, dtype=np.int16)
+        x, y = np.nonzero(d <= limit)
+        keep = x + i > y
+        near.append((x[keep] + i, y[keep]))
+    x, y = np.concatenate([a for a, _ in near]), np.concatenate([b for _, b in near])
+    while True:
+        low = np.minimum(label[x], label[y])
+        before = label.copy()
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        label = label[label]
+        if (before == label).all():
+            break
+    hit = label != np.arange(m)
+    return [(ids[hit], ids[label[hit]])]
+
+
+def _peel(ids: np.ndarray, f: np.ndarray, limit: int, least: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Edges of the rows close to a pivot, and the rows that are left; exact, whatever the rows are.
+
+    All rows within `limit` of the pivot are linked to it. By the triangle inequality a row within limit / 2 of it
+    (the core) can otherwise only meet rows within 3 / 2 limit: those are compared with the core, and the core goes.
+    """
+    out = []
+    while len(ids) > least:
+        ones = np.zeros(BITS, np.int64)
+        for i in range(0, len(f), 4096):
+            ones += np.unpackbits(np.ascontiguousarray(f[i : i + 4096]).view(np.uint8).reshape(-1, BITS // 8), axis=1).sum(axis=0, dtype=np.int64)
+        middle = np.packbits(2 * ones > len(f)).view(U64)
+        d = distance(f, f[int(distance(f, middle).argmin())])
+        p = int(np.flatnonzero(d == 0)[0])
+        ball = d <= limit
+        ball[p] = False
+        out.append((ids[ball], np.full(int(ball.sum()), ids[p])))
+        core = d <= limit // 2
+        shell = np.flatnonzero((d > limit) & (d <= limit + limit // 2))
+        inner = np.flatnonzero(core)
+        for i in range(0, len(shell), 256):
+            left = shell[i : i + 256]
+            for j in range(0, len(inner), 4096):  # one partner in the core is enough
+                if not len(left):
+                    break
+                c = inner[j : j + 4096]
+                near = np.bitwise_count(f[left][:, None, :] ^ f[c][None]).sum(axis=2, dtype=np.int16) <= limit
+                hit = near.any(axis=1)
+                out.append((ids[left[hit]], ids[c[near[hit].argmax(axis=1)]]))
+                left = left[~hit]
+        ids, f = ids[~core], f[~core]
+        if core.sum() * 32 < len(ids):
+            break
+    return out, ids, f
+
+
 def _bucket_edges(ids: np.ndarray, f: np.ndarray, limit: int, cap: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Edges that connect what is within `limit` inside one bucket.
 
-    Up to `cap` rows all pairs are compared, and rows are linked to the smallest id of their
-    component. A larger bucket is split by additional sampled bits, in as many tables as keep
-    the designed recall, and each part is handled in the same way.
+    Near copies of one text are taken out around pivots. Of the rest, up to `cap` rows are compared pair by pair. A larger
+    rest is split by additional sampled bits, in as many tables as keep the designed recall, and each part is handled
+    in the same way; a part that the bits don't shrink is compared pair by pair too.
     """
+    out, ids, f = _peel(ids, f, limit, SMALL)
     m = len(ids)
     if m <= cap:
-        label = np.arange(m)
-        near = []
-        for i in range(0, m, 256):
-            d = np.bitwise_count(f[i : i + 256, None, :] ^ f[None]).sum(axis=2, dtype=np.int16)
-            x, y = np.nonzero(d <= limit)
-            keep = x + i > y
-            near.append((x[keep] + i, y[keep]))
-        x, y = np.concatenate([a for a, _ in near]), np.concatenate([b for _, b in near])
-        while True:
-            low = np.minimum(label[x], label[y])
-            before = label.copy()
-            np.minimum.at(label, x, low)
-            np.minimum.at(label, y, low)
-            label = label[label]
-            if (before == label).all():
-                break
-        hit = label != np.arange(m)
-        return [(ids[hit], ids[label[hit]])]
+        return out + (_all_pairs(ids, f, limit) if m > 1 else [])
     extra, tables = plan_tables(m // 64)
-    out = []
     for table in range(tables):
         key = sampled_keys(f, table, extra, seed + 1)
-        if (key == key[0]).all():
-            if extra >= 48 or seed > 64:  # alike in every sampled coordinate again and again: compare them all
-                return _bucket_edges(ids, f, limit, m, seed)
         order = np.argsort(key, kind="stable")
         first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
         for g in np.split(order, first[1:]):
-            if len(g) > 1:
+            if 2 * len(g) > m:
+                out += _all_pairs(ids[g], f[g], limit)
+            elif len(g) > 1:
                 out += _bucket_edges(ids[g], f[g], limit, cap, seed + 2)
     return out
 

@@ -19,6 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexgrove.llm.shared import unused
 from lexgrove.llm.textbuf import U64, pieces, spans_hash, splitmix, texts_of, word_hashes, words
 
 MIN_WORDS, SHARD_WORDS = 50, 1 << 20
@@ -252,18 +253,19 @@ def without_repeats(docs: DataFrame, **how) -> DataFrame:
     stretch, the white space after the stretch goes with it. Rows that share a doc_id lose the same word positions, those that exist.
     """
     cuts = repeats(docs, **how).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("cuts"))
-    cuts = cuts.select(F.col("doc_id").alias("__cut_id"), F.col("cuts.start_word").alias("__from"), F.col("cuts.end_word").alias("__to"))
     names = docs.columns
-    both = docs.join(cuts.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__cut_id"), "left").drop("__cut_id")
+    key, begin, end = (unused(c, names) for c in ("cut_id", "cut_from", "cut_to"))
+    cuts = cuts.select(F.col("doc_id").alias(key), F.col("cuts.start_word").alias(begin), F.col("cuts.end_word").alias(end))
+    both = docs.join(cuts.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lost = np.flatnonzero(np.asarray(batch.column("__from").is_valid()))
+            lost = np.flatnonzero(np.asarray(batch.column(begin).is_valid()))
             plain = batch.select(names)
             if not len(lost):
                 yield plain
                 continue
-            yield plain.filter(batch.column("__from").is_null())
+            yield plain.filter(batch.column(begin).is_null())
             some = batch.take(pa.array(lost))
             t = texts_of(some.column("text"))
             s, e, row = words(t)
@@ -272,7 +274,7 @@ def without_repeats(docs: DataFrame, **how) -> DataFrame:
             for i in range(len(t)):
                 ws, we = s[edge[i] : edge[i + 1]], e[edge[i] : edge[i + 1]]
                 keep, at = [], int(t.off[i])
-                for a, b in zip(some.column("__from")[i].as_py(), some.column("__to")[i].as_py(), strict=True):
+                for a, b in zip(some.column(begin)[i].as_py(), some.column(end)[i].as_py(), strict=True):
                     if a >= len(ws):
                         break
                     keep.append(t.data[at : ws[a]].tobytes())

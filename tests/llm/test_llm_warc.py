@@ -1,0 +1,109 @@
+"""WARC files as a round trip; the index against the bytes of the files; ranges against their definition."""
+
+import gzip
+import hashlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lexgrove.llm import warc
+from lexgrove.llm.shared import cut, fresh_path
+
+ROWS = [
+    (1, "http://a/x", "<p>one</p>"),
+    (2, "http://b/ü?q=%0A", "<p>éé\r\n\r\nWARC/1.1</p>"),
+    (3, "http://c/\r\nEvil: 1", ""),
+    (4, None, None),
+    (None, "http://a/w", "<p>one</p>"),
+    (1, "http://a/x", "<p>one</p>"),
+    (5, "", "x" * 3_000_000),
+    (-6, "http://z", "tail"),
+]
+
+
+def table(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return df.select("*", *[F.lit("clash").alias(c) for c in ("path", "offset", "length", "digest", "records")])
+
+
+def indexed(spark, pages):
+    return cut(warc.index(spark, cut(warc.write(pages, fresh_path(spark, "warc-test")))))
+
+
+def test_round_trip_of_every_record(spark):
+    idx = indexed(spark, table(spark, ROWS))
+    got = [(r.page_id, r.url, r.html) for r in warc.read(idx).collect()]
+    assert sorted(got, key=repr) == sorted(ROWS, key=repr)
+
+
+def test_the_index_is_where_records_are(spark):
+    for r in indexed(spark, table(spark, ROWS)).collect():
+        with open(r.path.removeprefix("file://"), "rb") as f:
+            f.seek(r.offset)
+            raw = gzip.decompress(f.read(r.length))
+        d = warc.decode(raw)
+        assert (d["page_id"], d["url"], d["digest"]) == (r.page_id, r.url, r.digest)
+        assert r.digest == hashlib.sha256((d["html"] or "").encode()).hexdigest()
+        assert raw.startswith(b"WARC/1.1\r\n")
+
+
+def test_selection_takes_one_record_of_each_payload(spark):
+    got = {(r.page_id, r.url) for r in warc.select(indexed(spark, table(spark, ROWS))).collect()}
+    # of equal payloads the smallest url; the null and the empty payload are the same payload
+    assert got == {(None, "http://a/w"), (2, ROWS[1][1]), (3, ROWS[2][1]), (5, ""), (-6, "http://z")}
+
+
+def test_empty_table(spark):
+    idx = indexed(spark, table(spark, []))
+    assert idx.collect() == []
+    assert warc.read(warc.select(idx)).collect() == []
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 40)), max_size=30), st.integers(0, 20), st.integers(20, 80))
+def test_ranges(steps, gap, most):
+    offset, length, at = [], [], 0
+    for skip, n in steps:
+        offset.append(at + skip)
+        length.append(n)
+        at += skip + n
+    got = warc.coalesce(np.array(offset, np.int64), np.array(length, np.int64), gap, most)
+    seen = []
+    for begin, end, i, j in got:
+        seen += range(i, j)
+        assert begin == offset[i] and end == offset[j - 1] + length[j - 1]
+        assert j - i == 1 or end - begin <= most
+        assert all(offset[x + 1] - offset[x] - length[x] <= gap for x in range(i, j - 1))
+    assert seen == list(range(len(steps)))
+    # no two neighbouring reads could have been one
+    for (a, b, *_), (c, d, _, k) in zip(got, got[1:], strict=False):
+        first_end = offset[got[got.index((c, d, _, k))][2]] + length[got[got.index((c, d, _, k))][2]]
+        assert c - b > gap or first_end - a > most
+
+
+def test_a_damaged_payload_is_an_error(spark):
+    idx = indexed(spark, table(spark, ROWS[:1]))
+    r = idx.first()
+    path = r.path.removeprefix("file://")
+    head, _, rest = gzip.decompress(open(path, "rb").read()).partition(b"\r\n\r\n")
+    raw = gzip.compress(head + b"\r\n\r\n" + rest.replace(b"one", b"two"))
+    with open(path, "wb") as f:
+        f.write(raw)
+    bad = idx.withColumn("length", F.lit(len(raw)).cast("long"))
+    with pytest.raises(Exception, match="digest"):
+        warc.read(bad).collect()
+
+
+def test_query_against_the_table(spark):
+    from lexgrove.llm.queries import op1_warc_index
+
+    sf = "/root/testdata/sf0.001"
+    best = {}
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        key = r.html or ""
+        best[key] = min(best.get(key, (r.url, r.page_id)), (r.url, r.page_id))
+    got = {r.html or "": (r.url, r.page_id) for r in op1_warc_index(spark, sf).collect()}
+    assert got == best
