@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,11 @@ from lexgrove.llm.components import components
 from lexgrove.llm.shared import cut
 from lexgrove.llm.textbuf import splitmix
 
-MIN_COSINE, FILTERS_PER_VECTOR, BLOCKS, SEED = 0.9, 20, 3, 41
+MIN_COSINE, BLOCKS, SEED = 0.9, 3, 41
+#: filters of one code that a vector exceeds, unrelated vectors in a filter, recall of pairs at the limit that the number of codes is designed for
+PER_CODE, BUCKET, RECALL = 2, 256, 0.95
+#: a vector in a bucket larger than this is first compared with pivots
+SMALL = 48
 
 
 def cap_height(dims: int, share: float) -> float:
@@ -33,6 +38,36 @@ def codebooks(dims: int, words: int, seed: int = SEED) -> list[np.ndarray]:
     return out
 
 
+def rotation(dims: int, seed: int) -> np.ndarray:
+    """A random orthogonal matrix."""
+    g = np.random.Generator(np.random.Philox(key=[seed, 1 << 20])).standard_normal((dims, dims))
+    return np.linalg.qr(g)[0].astype(np.float32)
+
+
+def pairs_at(cosine: float, n: int, dims: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """n random pairs of unit vectors with that cosine."""
+    g = np.random.Generator(np.random.Philox(key=[seed, 1 << 21]))
+    a, z = unit(g.standard_normal((n, dims)))[0], g.standard_normal((n, dims))
+    z = unit(z - (z * a).sum(axis=1, keepdims=True) * a)[0]
+    return a, (cosine * a + math.sqrt(1 - cosine**2) * z).astype(np.float32)
+
+
+def plan(n: int, dims: int, limit: float, seed: int = SEED, recall: float = RECALL) -> tuple[int, float, int]:
+    """(words of a codebook, height of the caps, codes) for n vectors.
+
+    A code has so many filters that about BUCKET unrelated vectors share one, whatever n is. How often a pair at the limit meets in
+    one code is measured on simulated pairs; the number of independent codes follows from it and the designed recall."""
+    blocks = min(BLOCKS, dims)
+    words = max(2, round((n * PER_CODE / BUCKET) ** (1 / blocks)))
+    height = cap_height(dims, min(0.5, PER_CODE / words**blocks))
+    a, b = pairs_at(limit, 512, dims, seed)
+    turn, books = rotation(dims, seed), codebooks(dims, words, seed)
+    (ra, ca), (rb, cb) = list_decode(a @ turn, books, height), list_decode(b @ turn, books, height)
+    met = len(set(ra[np.isin(ra * words**blocks + ca, rb * words**blocks + cb)].tolist())) / 512
+    met = min(max(met, 1 / 512), 0.999)
+    return words, height, max(1, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+
+
 def list_decode(v: np.ndarray, books: list[np.ndarray], height: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) of every filter direction whose inner product with the row is at least `height`.
 
@@ -63,10 +98,42 @@ def _matrix(col: pa.Array, dims: int) -> np.ndarray:
     return np.asarray(pa.compute.list_flatten(col), np.float32).reshape(-1, dims)
 
 
+def _peel(ids: np.ndarray, v: np.ndarray, limit: float) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Edges of the rows close to a pivot, and the rows that are left; exact, whatever the rows are.
+
+    All rows within the limit's angle of the pivot are linked to it. By the triangle inequality a row within half of that angle
+    (the core) can otherwise only meet rows within one and a half of it: those are compared with the core, and the core goes.
+    """
+    out, theta = [], math.acos(min(1.0, limit))
+    half, reach = math.cos(theta / 2 * 0.999), math.cos(min(math.pi, theta * 1.501 + 1e-3))
+    while len(ids) > SMALL:
+        p = int((v @ v.mean(axis=0)).argmax())
+        c = v @ v[p]
+        ball = c >= limit
+        ball[p] = False
+        out.append((ids[ball], np.full(int(ball.sum()), ids[p])))
+        core = c >= half
+        core[p] = True
+        inner, shell = np.flatnonzero(core), np.flatnonzero((c < limit) & (c >= reach))
+        for i in range(0, len(shell), 512):
+            left = shell[i : i + 512]
+            for j in range(0, len(inner), 8192):  # one partner in the core is enough
+                k = inner[j : j + 8192]
+                near = v[left] @ v[k].T >= limit
+                hit = near.any(axis=1)
+                out.append((ids[left[hit]], ids[k[near[hit].argmax(axis=1)]]))
+                left = left[~hit]
+        ids, v = ids[~core], v[~core]
+        if core.sum() * 32 < len(ids):
+            break
+    return out, ids, v
+
+
 def _link(ids: np.ndarray, v: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Every row is compared with all of its bucket, and linked to the smallest id of its component in it."""
+    """Edges that connect what is within the limit in one bucket: near copies around pivots, then every row with every other."""
+    out, ids, v = _peel(ids, v, limit)
     label = np.arange(len(ids))
-    x, y = [], []
+    x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in range(0, len(ids), 512):
         a, b = np.nonzero(v[i : i + 512] @ v.T >= limit)
         keep = a + i > b
@@ -82,17 +149,18 @@ def _link(ids: np.ndarray, v: np.ndarray, limit: float) -> tuple[np.ndarray, np.
         if (before == label).all():
             break
     hit = label != np.arange(len(ids))
-    return ids[hit], ids[label[hit]]
+    out.append((ids[hit], ids[label[hit]]))
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
 def groups(
-    vectors: DataFrame, min_cosine: float = MIN_COSINE, per_vector: int = FILTERS_PER_VECTOR, id_col: str = "vec_id", seed: int = SEED
+    vectors: DataFrame, min_cosine: float = MIN_COSINE, recall: float = RECALL, id_col: str = "vec_id", seed: int = SEED
 ) -> DataFrame:
     """Near-duplicate groups of embeddings: (vec_id, group_id, group_size, kept), only of vectors that have a near-duplicate.
 
     Vectors at cosine `min_cosine` or more are near-duplicates; a group is a connected component, named by its smallest id, which is kept.
-    The code has about 16 directions per distinct vector and each vector exceeds about `per_vector` of them, so
-    that buckets stay small at any size. Vectors of equal bytes are joined first. Null ids, null vectors, those
+    Every vector is a query. Pairs are searched in independent codes (see plan): buckets stay small at any size, and a pair at the limit
+    is found with probability `recall`, closer ones more often; what is found is verified. Vectors of equal bytes are joined first. Null ids, null vectors, those
     with a null, infinite or no entry, and zero vectors belong to no group; rows that share an id are one. Vectors of another length than
     the longest are compared among their own length only.
     """
@@ -106,11 +174,8 @@ def groups(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = same
     for dims, n in sorted(lengths.items()):
-        blocks = min(BLOCKS, dims)
-        words = max(4, int(np.ceil((16 * n) ** (1 / blocks))))
-        height = cap_height(dims, min(0.5, per_vector / words**blocks)) if dims > 1 else 0.0
-        near = _near(unique.where(F.size("v") == dims), dims, words, height, min_cosine, parts, seed)
-        edges = edges.union(near)
+        words, height, codes = plan(n, dims, min_cosine, seed, recall) if dims > 1 else (2, 0.5, 1)
+        edges = edges.union(_near(unique.where(F.size("v") == dims), dims, words, height, codes, min_cosine, parts, seed))
     comp = components(edges)
     sized = comp.groupBy("group").agg(F.count("*").alias("n"))
     return comp.join(sized, "group").select(
@@ -118,18 +183,22 @@ def groups(
     )
 
 
-def _near(unique: DataFrame, dims: int, words: int, height: float, limit: float, parts: int, seed: int) -> DataFrame:
-    books = codebooks(dims, words, seed)
+def _near(unique: DataFrame, dims: int, words: int, height: float, codes: int, limit: float, parts: int, seed: int) -> DataFrame:
+    books = [(rotation(dims, seed + i), codebooks(dims, words, seed + i)) for i in range(codes)]
+    if dims == 1:  # two directions are all there are
+        books = [(np.ones((1, 1), np.float32), [np.array([[1], [-1]], np.float32)])]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 v, _ = unit(_matrix(part.column("v"), dims))
-                row, code = list_decode(v, books, height)
+                found_in = [list_decode(v @ turn, b, height) for turn, b in books]
+                row = np.concatenate([r for r, _ in found_in])
+                code = np.concatenate([splitmix(c, i) for i, (_, c) in enumerate(found_in)])
                 off = (np.arange(len(row) + 1) * dims).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(splitmix(code).view(np.int64)), part.column("rep").take(pa.array(row)), pa.ListArray.from_arrays(pa.array(off), pa.array(v[row].reshape(-1)))],
+                    [pa.array(code.view(np.int64)), part.column("rep").take(pa.array(row)), pa.ListArray.from_arrays(pa.array(off), pa.array(v[row].reshape(-1)))],
                     names=["f", "rep", "v"],
                 )
 

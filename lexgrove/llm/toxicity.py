@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from lexgrove.llm.textbuf import U64, Texts, pieces, word_hashes
 
 BITS, SAMPLE, GRADES, SEED = 18, 6000, 4, 37
+#: training rows that a bucket has at least, and its least likelihood ratio between toxic and clean rows (chi-square of one degree, p < 0.001)
+MIN_ROWS, MIN_RATIO = 5, 12.0
 SCHEMA = "doc_id long, severity int, expected_severity double, p_toxic double, toxic boolean"
 EDGE = np.zeros(256, bool)
 EDGE[33:48] = EDGE[58:65] = EDGE[91:97] = EDGE[123:127] = True
@@ -42,7 +44,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit(
-    row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, width: int, grades: int, steps: int = 150, rate: float = 0.1, decay: float = 2e-4
+    row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, width: int, grades: int, steps: int = 150, rate: float = 0.1, decay: float = 2e-5
 ) -> Ordinal:
     """Maximum likelihood by Adam; cuts are a first one plus positive gaps. Deterministic."""
     n = len(y)
@@ -91,11 +93,27 @@ def severity_grades(row: np.ndarray, col: np.ndarray, val: np.ndarray, toxic: np
     return y
 
 
+def likelihood_ratio(row: np.ndarray, col: np.ndarray, toxic: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(G statistic of having a bucket against being toxic, rows) of every bucket; (row, col) are distinct pairs."""
+    n_bad, n_good = int(toxic.sum()), int((~toxic).sum())
+    n = max(n_bad + n_good, 1)
+    bad = np.bincount(col[toxic[row]], minlength=width).astype(float)
+    good = np.bincount(col[~toxic[row]], minlength=width).astype(float)
+    seen = bad + good
+
+    def part(have: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return have * np.log(np.where(have > 0, have, 1) / np.where(have > 0, expected, 1))
+
+    g = part(bad, seen * n_bad / n) + part(good, seen * n_good / n)
+    return 2 * (g + part(n_bad - bad, (n - seen) * n_bad / n) + part(n_good - good, (n - seen) * n_good / n)), seen
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grades: int = GRADES, seed: int = SEED) -> Ordinal:
     """A model from at most `sample` labelled documents (the documented bound), chosen by a hash of doc_id.
 
-    The labels are 0/1; grades 1 .. grades - 1 are derived from them (see severity_grades). Buckets of fewer than
-    5 training rows have no weight. Rows without id, text or label are no training rows.
+    The labels are 0/1; grades 1 .. grades - 1 are derived from them (see severity_grades). Only buckets that tell toxic from
+    clean training rows beyond chance have a weight (see MIN_ROWS, MIN_RATIO), as rare words would be learnt by heart.
+    Rows without id, text or label are no training rows.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
@@ -123,8 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grades: int
     val = np.concatenate([np.zeros(0), *got["v"]]).astype(float)
     toxic = got["y"].to_numpy() == 1
     y = severity_grades(row, col, val, toxic, grades)
-    often = np.bincount(col, minlength=1 << BITS) >= 5
-    keep = often[col]
+    ratio, seen = likelihood_ratio(row, col, toxic, 1 << BITS)
+    keep = ((ratio >= MIN_RATIO) & (seen >= MIN_ROWS))[col]
     return fit(row[keep], col[keep], val[keep], y, 1 << BITS, grades)
 
 
