@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,7 +96,7 @@ def unit(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _matrix(col: pa.Array, dims: int) -> np.ndarray:
-    return np.asarray(pa.compute.list_flatten(col), np.float32).reshape(-1, dims)
+    return np.asarray(pc.list_flatten(col), np.float32).reshape(-1, dims)
 
 
 def _peel(ids: np.ndarray, v: np.ndarray, limit: float) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:

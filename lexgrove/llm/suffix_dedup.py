@@ -250,7 +250,8 @@ def without_repeats(docs: DataFrame, **how) -> DataFrame:
     """docs without the stretches of repeats(): same columns, n_chars counted anew; a document of which no word is left goes.
 
     Rows without a stretch are returned as they are, null ids and null or blank texts included. Of a document that loses a
-    stretch, the white space after the stretch goes with it. Rows that share a doc_id lose the same word positions, those that exist.
+    stretch, the white space after the stretch goes with it. Rows that share a doc_id lose the same word positions; one that has none of
+    these stays, null or blank as it may be (its n_chars is counted anew, 0 for null).
     """
     cuts = repeats(docs, **how).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("cuts"))
     names = docs.columns
@@ -270,7 +271,7 @@ def without_repeats(docs: DataFrame, **how) -> DataFrame:
             t = texts_of(some.column("text"))
             s, e, row = words(t)
             edge = np.searchsorted(row, np.arange(len(t) + 1))
-            text = []
+            text, stays = [], []
             for i in range(len(t)):
                 ws, we = s[edge[i] : edge[i + 1]], e[edge[i] : edge[i + 1]]
                 keep, at = [], int(t.off[i])
@@ -279,13 +280,15 @@ def without_repeats(docs: DataFrame, **how) -> DataFrame:
                         break
                     keep.append(t.data[at : ws[a]].tobytes())
                     at = int(ws[b]) if b < len(ws) else int(t.off[i + 1])
+                untouched = not keep  # another row with this doc_id has the stretch
                 keep.append(t.data[at : t.off[i + 1]].tobytes())
-                text.append(b"".join(keep).decode("utf-8", "replace"))
+                text.append(b"".join(keep).decode("utf-8", "replace") if t.valid[i] else None)
+                stays.append(untouched or bool(text[-1].strip()))
             out = some.select(names)
             out = out.set_column(names.index("text"), "text", pa.array(text, out.schema.field("text").type))
             if "n_chars" in names:
                 j = names.index("n_chars")
-                out = out.set_column(j, "n_chars", pa.array([len(x) for x in text]).cast(out.schema.field("n_chars").type))
-            yield out.filter(pa.array([bool(x.strip()) for x in text]))
+                out = out.set_column(j, "n_chars", pa.array([len(x or "") for x in text]).cast(out.schema.field("n_chars").type))
+            yield out.filter(pa.array(stays))
 
     return both.mapInArrow(run, docs.schema)
