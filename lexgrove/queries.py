@@ -243,10 +243,10 @@ def series_variance_about(spark, sf_dir):
 
 @_query(
     f"""WITH {_SERIES}, l AS (SELECT *, lag(x) OVER (PARTITION BY series ORDER BY day) AS b FROM s)
-    SELECT series, day, round((x - b) / nullif(b, 0) * 100, 6) AS growth FROM l WHERE b IS NOT NULL"""
+    SELECT series, CAST(day AS VARCHAR) AS day, round((x - b) / nullif(b, 0) * 100, 6) AS growth FROM l WHERE b IS NOT NULL"""
 )
 def series_growth(spark, sf_dir):
-    return _round_all(stats.growth(_series(spark, sf_dir), "series", "day"), "growth")
+    return _round_all(stats.growth(_series(spark, sf_dir), "series", "day"), "growth").withColumn("day", F.col("day").cast("string"))
 
 
 @_query(
