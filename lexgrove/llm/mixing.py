@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -147,13 +148,14 @@ def mix(
     first = F.sum("m").over(W.partitionBy("source").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))
     numbered = chunks.withColumn("first", F.coalesce(first, F.lit(0)))
     index = numbered.select("source", "chunk", "first", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("m") - 1)).alias("block"))
-    wanted = placed.join(index, ["source", "block"]).withColumn("local", F.col("block") - F.col("first"))
+    # the index has a row for each block, so it is never broadcast, however small the chunks that it is made of are
+    wanted = placed.join(index.hint("shuffle_hash"), ["source", "block"]).withColumn("local", F.col("block") - F.col("first"))
 
     def fill(key: tuple, rows: pa.Table, want: pa.Table) -> pa.Table:
         if not want.num_rows or not rows.num_rows:
             return pa.table({c: pa.array([], k) for c, k in kinds})
         ids, text = np.asarray(rows.column("doc_id")), rows.column("text")
-        order = pa.compute.sort_indices(rows.select(["doc_id", "text"]), sort_keys=[("doc_id", "ascending"), ("text", "ascending")])
+        order = pc.sort_indices(rows.select(["doc_id", "text"]), sort_keys=[("doc_id", "ascending"), ("text", "ascending")])
         ids, lang = ids[np.asarray(order)], rows.column("lang").take(order).to_pylist()
         t = texts_of(text.take(order))
         s, e, row = words(t)
