@@ -17,7 +17,8 @@ from lexgrove.llm.textbuf import U64, pieces, splitmix, word_hashes
 BITS = 256
 WORDS64 = BITS // 64
 #: largest distance of a near-duplicate pair; distance and recall that the number of tables is designed for
-MAX_DISTANCE, DESIGN_DISTANCE, DESIGN_RECALL = 50, 36, 0.95
+MAX_DISTANCE = DESIGN_DISTANCE = 50
+DESIGN_RECALL = 0.95
 SMALL, CAP = 48, 4096
 
 
@@ -87,11 +88,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return src.where("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, f binary")
 
 
-def plan_tables(n: int, design: int = DESIGN_DISTANCE, recall: float = DESIGN_RECALL) -> tuple[int, int]:
-    """(sampled bits, tables): bits so that unrelated rows seldom meet, tables so that a pair at the design distance does."""
-    bits = min(48, max(8, math.ceil(math.log2(max(n, 2)))))
-    p = (1 - design / BITS) ** bits
-    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
+def meeting(bits: int, apart: int, among: int = BITS) -> float:
+    """Probability that `bits` coordinates, drawn without replacement from `among`, miss all `apart` that differ."""
+    return math.prod((among - apart - i) / (among - i) for i in range(bits))
+
+
+def plan_tables(n: int, design: int = DESIGN_DISTANCE, recall: float = DESIGN_RECALL, used: int = 0) -> tuple[int, int]:
+    """(sampled bits, tables): tables so that a pair at the design distance meets in one of them with probability `recall`.
+
+    Tables grow steeply with the bits, so of n rows up to 16 bits are sampled, and more only where over 256 rows would share a
+    key by chance. `used` bits are already equal, so that all differences are among the others.
+    """
+    log = math.ceil(math.log2(max(n, 2)))
+    bits = min(48, max(8, min(16, log), log - 8))
+    p = meeting(bits, design, BITS - used)
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log1p(-p)))
 
 
 def bit_choice(table: int, bits: int, seed: int) -> np.ndarray:
@@ -169,18 +180,18 @@ def _peel(ids: np.ndarray, f: np.ndarray, limit: int, least: int) -> tuple[list[
     return out, ids, f
 
 
-def _bucket_edges(ids: np.ndarray, f: np.ndarray, limit: int, cap: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _bucket_edges(ids: np.ndarray, f: np.ndarray, limit: int, cap: int, seed: int, used: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Edges that connect what is within `limit` inside one bucket.
 
     Near copies of one text are taken out around pivots. Of the rest, up to `cap` rows are compared pair by pair. A larger
-    rest is split by additional sampled bits, in as many tables as keep the designed recall, and each part is handled
-    in the same way; a part that the bits don't shrink is compared pair by pair too.
+    rest is split by additional sampled bits, in as many tables as keep the designed recall of pairs at `limit` that agree in the
+    `used` bits of the bucket, and each part is handled in the same way; a part that the bits don't shrink is compared pair by pair too.
     """
     out, ids, f = _peel(ids, f, limit, SMALL)
     m = len(ids)
     if m <= cap:
         return out + (_all_pairs(ids, f, limit) if m > 1 else [])
-    extra, tables = plan_tables(m // 64)
+    extra, tables = plan_tables(m // 64, limit, used=used)
     for table in range(tables):
         key = sampled_keys(f, table, extra, seed + 1)
         order = np.argsort(key, kind="stable")
@@ -189,11 +200,11 @@ def _bucket_edges(ids: np.ndarray, f: np.ndarray, limit: int, cap: int, seed: in
             if 2 * len(g) > m:
                 out += _all_pairs(ids[g], f[g], limit)
             elif len(g) > 1:
-                out += _bucket_edges(ids[g], f[g], limit, cap, seed + 2)
+                out += _bucket_edges(ids[g], f[g], limit, cap, seed + 2, used + extra)
     return out
 
 
-def bucket_pairs(key: np.ndarray, ids: np.ndarray, f: np.ndarray, limit: int, cap: int = CAP) -> tuple[np.ndarray, np.ndarray]:
+def bucket_pairs(key: np.ndarray, ids: np.ndarray, f: np.ndarray, limit: int, cap: int = CAP, used: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Verified edges among rows sorted by key."""
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(key)))
@@ -209,7 +220,7 @@ def bucket_pairs(key: np.ndarray, ids: np.ndarray, f: np.ndarray, limit: int, ca
         a.append(ids[hit])
         b.append(ids[hit + shift])
     for i, m in zip(first[big], size[big], strict=True):
-        for x, y in _bucket_edges(ids[i : i + m], f[i : i + m], limit, cap, 1):
+        for x, y in _bucket_edges(ids[i : i + m], f[i : i + m], limit, cap, 1, used):
             a.append(x)
             b.append(y)
     z = np.zeros(0, np.int64)
@@ -217,17 +228,17 @@ def bucket_pairs(key: np.ndarray, ids: np.ndarray, f: np.ndarray, limit: int, ca
 
 
 def near_edges(
-    prints: DataFrame, max_distance: int = MAX_DISTANCE, design: int = DESIGN_DISTANCE, recall: float = DESIGN_RECALL, seed: int = 11
+    prints: DataFrame, max_distance: int = MAX_DISTANCE, design: int | None = None, recall: float = DESIGN_RECALL, seed: int = 11
 ) -> DataFrame:
     """Edges (a, b) whose components are the near-duplicate groups of (doc_id, f).
 
     Equal fingerprints are joined to their smallest id without a search. Distinct ones go to
     several tables; a row of a table carries its fingerprint, so that distances are verified
-    where rows meet and nothing is joined back.
+    where rows meet and nothing is joined back. Tables are planned for `design`, max_distance if it isn't given.
     """
     shared = prints.groupBy("f").agg(F.min("doc_id").alias("rep"))
     unique = cut(shared)
-    bits, tables = plan_tables(unique.count(), design, recall)
+    bits, tables = plan_tables(unique.count(), max_distance if design is None else design, recall)
     same = prints.join(unique, "f").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +272,7 @@ def near_edges(
 
     def found(rows: pa.Table) -> pa.RecordBatch:
         key = splitmix(np.asarray(rows.column("key"))) ^ splitmix(np.asarray(rows.column("t")), 1)
-        a, b = bucket_pairs(key, np.asarray(rows.column("rep")), from_binary(rows.column("f")), max_distance)
+        a, b = bucket_pairs(key, np.asarray(rows.column("rep")), from_binary(rows.column("f")), max_distance, used=bits)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     rows = unique.select("rep", "f").mapInArrow(expand, "t int, key long, rep long, f binary")

@@ -1,5 +1,7 @@
 """SimHash groups against all pairs; oversized buckets; edge cases."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -98,6 +100,27 @@ def test_recall_of_the_search_against_all_pairs(spark):
     assert set(got) <= set(want)
 
 
+@pytest.mark.parametrize("n", [1, 300, 8_300, 41_500, 250_000, 10**6, 15 * 10**6, 10**9])
+def test_tables_are_planned_for_every_accepted_distance(n):
+    bits, tables = simhash.plan_tables(n)
+    for apart in range(simhash.MAX_DISTANCE + 1):
+        meet = math.comb(simhash.BITS - apart, bits) / math.comb(simhash.BITS, bits)  # drawn without replacement
+        assert 1 - (1 - meet) ** tables >= 0.9
+
+
+def test_pairs_at_the_accept_distance_meet_in_a_table():
+    g = np.random.default_rng(8)
+    a = g.integers(0, 1 << 63, (2000, 4), dtype=np.uint64)
+    flips = np.argsort(g.random((len(a), simhash.BITS)), axis=1) < simhash.MAX_DISTANCE
+    b = a ^ np.packbits(flips, axis=1).view(">u8").astype(np.uint64)
+    assert (simhash.distance(a, b) == simhash.MAX_DISTANCE).all()
+    bits, tables = simhash.plan_tables(10**6)
+    met = np.zeros(len(a), bool)
+    for t in range(tables):
+        met |= simhash.sampled_keys(a, t, bits, 11) == simhash.sampled_keys(b, t, bits, 11)
+    assert met.mean() >= 0.9
+
+
 def test_query_against_all_pairs_of_the_table(spark):
     from lexgrove.llm.queries import op7_simhash_bit_sampling
 
