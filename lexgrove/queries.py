@@ -514,8 +514,7 @@ def sgns_gradient_step(spark, sf_dir):
 
 @_query()
 def sgns_train(spark, sf_dir):
-    words = _t(spark, sf_dir, "benchmark").select("item_id", T.preprocess("text").alias("words"))
-    return embeddings.train(words, dim=16, window=2, epochs=2, key="item_id").select("idx", "word", "input")
+    return embeddings.train(_plain(spark, sf_dir)).select("idx", "word", "input")
 
 
 # sentiment

@@ -33,3 +33,9 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lexgrove-"))
     return df.checkpoint()
+
+
+def cut_plan(df: DataFrame) -> DataFrame:
+    """As cut, and without the plan's size estimates, which multiply at each join of a loop until they fill the driver."""
+    spark, jdf = df.sparkSession, cut(df)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), spark)

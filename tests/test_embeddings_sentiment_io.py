@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexgrove.operators import embeddings, sentiment
 from lexgrove.sources import sinks, text_files
@@ -41,6 +42,38 @@ def test_training_brings_neighbours_together_and_round_trips(spark, tmp_path):
     assert {r.word: r.input is None for r in got} == {"a": False, "zz": True}
 
 
+def test_the_training_query_covers_the_documents_at_the_defaults(spark, tmp_path):
+    from lexgrove.queries import sgns_train
+
+    rows = [(1, "a red fox, a dog"), (2, None), (3, "no word of the benchmark")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "passage")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.word: r.input for r in sgns_train(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a", "red", "fox", "dog", "no", "word", "of", "the", "benchmark"}
+    assert {len(v) for v in got.values()} == {50}
+
+
+def test_an_epoch_moves_by_capped_sums_over_all_blocks(spark, monkeypatch):
+    """One synchronous step without negatives, against a plain loop."""
+    monkeypatch.setattr(embeddings, "BLOCK", 1)
+    words = [["a", "b"] * 60, ["b", "c", "a", "d"]]
+    d = spark.createDataFrame(list(enumerate(words)), "doc_id long, words array<string>")
+    vocab = spark.createDataFrame([(i, w) for i, w in enumerate("abcd")], "idx long, word string")
+    old = {r.word: (np.array(r.input), np.array(r.output)) for r in embeddings.initial(vocab, 6, 3).collect()}
+    monkeypatch.setattr(embeddings, "negatives", lambda *_: F.array().cast("array<bigint>"))
+    new = {r.word: (np.array(r.input), np.array(r.output)) for r in embeddings.train(d, dim=6, window=1, epochs=1, rate=0.1, seed=3).collect()}
+    sums = {(w, s): [0, np.zeros(6)] for w in "abcd" for s in (0, 1)}
+    for doc in words:
+        for i, w in enumerate(doc):
+            for c in [*doc[max(i - 1, 0) : i], *doc[i + 1 : i + 2]]:
+                if c != w:
+                    g = 1 / (1 + np.exp(-old[w][0] @ old[c][1])) - 1
+                    for at, grad in (((w, 0), g * old[c][1]), ((c, 1), g * old[w][0])):
+                        sums[at] = [sums[at][0] + 1, sums[at][1] + grad]
+    for (w, s), (n, g) in sums.items():
+        assert np.allclose(new[w][s], old[w][s] - min(0.5 / n, 0.1) * g)
+
+
 def test_negatives_have_neither_the_positive_nor_repeats(spark):
     from pyspark.sql import functions as F
 
