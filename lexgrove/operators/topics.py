@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexgrove.functions import vector as V
+from lexgrove.session import cut, cut_plan
 
 
 def bag(tokens: DataFrame) -> DataFrame:
@@ -148,3 +149,47 @@ def kmeans(
 
     kind = dict(src.dtypes)[key]
     return src.mapInArrow(label, f"{key} {kind}, cluster int"), c
+
+
+def kmeans_terms(weights: DataFrame, k: int = 3, seed: int = 0, max_iter: int = 100, tol: float = 1e-4, key: str = "doc_id") -> DataFrame:
+    """(key, cluster) of sparse vectors (key, token, tfidf): kmeans over one coordinate for each token, with the same starts and end.
+
+    Centroids are rows (token, c) with a number for each cluster, joined by token, so that only k numbers get to the driver and
+    the width may grow with the vocabulary.
+    """
+    spark = weights.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(weights.select(key, "token", F.col("tfidf").alias("x")))
+    starts = [r[0] for r in rows.select(key).distinct().orderBy(F.xxhash64(F.lit(seed), key), key).limit(k).collect()]
+    if not starts:
+        return rows.select(key, F.lit(0).alias("cluster"))
+    each = range(len(starts))
+    by_key, by_token = rows.repartition(parts, key).persist(), rows.repartition(parts, "token").persist()
+
+    def state(c: DataFrame) -> list[float]:
+        """Squared lengths of the centroids, and the largest move of a coordinate."""
+        return list(c.agg(*[F.sum(F.col("c")[j] * F.col("c")[j]) for j in each], F.max("moved")).first())
+
+    def assigned(c: DataFrame, lengths: list[float]) -> DataFrame:
+        dots = by_token.join(c.select("token", "c").hint("shuffle_hash"), "token").groupBy(key).agg(*[F.sum(F.col("x") * F.col("c")[j]).alias(f"d{j}") for j in each])
+        near = F.array_min(F.array(*[F.struct((F.lit(lengths[j]) - 2 * F.col(f"d{j}")).alias("distance"), F.lit(j).alias("cluster")) for j in each]))
+        return cut_plan(dots.select(key, near["cluster"].alias("cluster")))
+
+    try:
+        first = [F.sum(F.when(F.col(key) == start, F.col("x")).otherwise(0.0)) for start in starts]
+        c = cut_plan(by_token.groupBy("token").agg(F.array(*first).alias("c")).withColumn("moved", F.lit(0.0)))
+        lengths = state(c)[:-1]
+        for _ in range(max_iter):
+            who = assigned(c, lengths)
+            size = {r["cluster"]: r["count"] for r in who.groupBy("cluster").count().collect()}
+            sums = by_key.join(who.hint("shuffle_hash"), key).groupBy("token").agg(*[F.sum(F.when(F.col("cluster") == j, F.col("x")).otherwise(0.0)).alias(f"s{j}") for j in each])
+            means = F.array(*[F.col(f"s{j}") / float(size[j]) if j in size else F.col("c")[j] for j in each])
+            new = c.select("token", "c").join(sums.hint("shuffle_hash"), "token").select("token", means.alias("n"), F.col("c").alias("o"))
+            c = cut_plan(new.select("token", F.col("n").alias("c"), F.array_max(F.zip_with("n", "o", lambda a, b: F.abs(a - b))).alias("moved")))
+            *lengths, moved = state(c)
+            if moved < tol:
+                break
+        return assigned(c, lengths)
+    finally:
+        by_key.unpersist()
+        by_token.unpersist()

@@ -61,3 +61,24 @@ def test_topic_model(spark):
     docs = spark.createDataFrame([(i, ("apple pear plum " if i % 2 else "iron steel tin ") * (1 + i % 3)) for i in range(12)] + [(50, "")], "doc_id long, text string")
     assigned, clusters = topic_model.fit(docs, topic_model.TopicConfig(clusters=2, topics=3, dims=64, seed=1))
     assert assigned.count() == 12 and sum(r["size"] for r in clusters.collect()) == 12
+
+
+def test_topics_are_clustered_over_the_whole_vocabulary(spark):
+    """Against a plain loop over TF-IDF with a coordinate for each of over 1,000 words."""
+    rng = np.random.default_rng(4)
+    lines = [[f"w{i % 3}x{j}" for j in rng.integers(0, 600, 30)] for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)] + [(99, "")], "doc_id long, text string")
+    names = sorted({w for line in lines for w in line})
+    tf = np.array([[line.count(w) / len(line) for w in names] for line in lines])
+    x = tf * np.log(61 / (tf > 0).sum(axis=0))
+    order = [r.doc_id for r in docs.where("doc_id < 99").orderBy(F.xxhash64(F.lit(2), "doc_id"), "doc_id").collect()]
+    c = x[order[:4]].copy()
+    for _ in range(100):
+        who = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+        new = np.stack([x[who == k].mean(axis=0) if (who == k).any() else c[k] for k in range(4)])
+        moved, c = np.abs(new - c).max(), new
+        if moved < 1e-4:
+            break
+    who = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assigned, _ = topic_model.fit(docs, topic_model.TopicConfig(clusters=4, seed=2))
+    assert len(names) > 1000 and {r.doc_id: r.cluster for r in assigned.collect()} == dict(enumerate(who.tolist()))
