@@ -15,6 +15,8 @@ from lexgrove.llm.textbuf import pieces
 
 SCHEMA = "doc_id long, n_lines int, n_content int, content_share double, keep boolean"
 SAMPLE, SEED, MIN_SHARE = 2000, 17, 0.5
+#: every line is content, so that every text with lines is kept
+UNTRAINED = Crf(np.zeros((WIDTH, 2)), np.array([[0.0, 1.0], [0.0, 1.0]]), np.array([0.0, 1.0]), np.zeros(WIDTH), np.ones(WIDTH))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SEED, rounds: int = 2) -> Crf:
@@ -24,12 +26,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
     document are content; lines of a bad one start as boilerplate, and after each round
     those that the model itself decodes as content are relabelled, so that the ordinary
     lines of a bad document don't count against ordinary lines.
+    Without a labelled document that has lines, nothing speaks against a line: the model is UNTRAINED, which calls all content.
     """
     rows = labelled_lines(docs, labels, sample, seed)
-    if not rows:
-        return fit(np.zeros((0, WIDTH)), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    x = np.vstack([r[2] for r in rows])
     lengths = np.array([r[1] for r in rows], np.int64)
+    if not lengths.sum():
+        return UNTRAINED
+    x = np.vstack([r[2] for r in rows])
     doc_y = np.repeat(np.array([r[0] for r in rows]), lengths)
     y = doc_y.astype(np.int64)
     model = fit(x, lengths, y)

@@ -134,6 +134,13 @@ def test_edge_cases(spark, rows, labels):
     assert kept.count() == sum(x.keep for x in r)
 
 
+@pytest.mark.parametrize("labels", [[], [(1, None, None)], [(12345, 1, 0)], [(2, 0, 0), (3, 0, 0), (4, 1, 0)]])
+def test_without_usable_labels_every_text_with_lines_is_kept(spark, labels):
+    docs = docs_of(spark, ODD)
+    for r in quality_rules.apply(docs, quality_rules.train(docs, labels_of(spark, labels))).collect():
+        assert r.keep == (r.n_lines > 0) and r.n_content == r.n_lines
+
+
 def split(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
