@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.llm.textbuf import U64, Texts, lines, pieces, spans_hash, words
+from lexgrove.llm.textbuf import FOLDED, U64, Texts, characters, lines, pieces, solid_bytes, spans_hash, words
+from lexgrove.llm.textbuf import LOWER as LOWER_OF
 
 LOWER, UPPER, DIGIT, BLANK, STOP, COMMA, BAR, SYMBOL, TRAIL = range(9)
 KINDS = np.full(256, SYMBOL, np.uint8)
@@ -35,9 +36,9 @@ def line_features(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros((0, WIDTH)), np.zeros(0), count
     n = len(t.data)
     kind = KINDS[t.data]
-    two = np.flatnonzero(t.data[:-1] == 0xC3)
-    kind[two[(t.data[two + 1] >= 0x80) & (t.data[two + 1] <= 0x9E)]] = UPPER
-    line_at = np.full(n, -1, np.int64)
+    at, code, _ = characters(t.data, FOLDED)
+    kind[at[LOWER_OF[code] != code]] = UPPER
+    kind[(kind >= UPPER) & ~solid_bytes(t.data)[0]] = BLANK
     line_at = np.repeat(np.arange(len(s)), e - s)
     inside = np.zeros(n + 1, np.int32)
     np.add.at(inside, s, 1)

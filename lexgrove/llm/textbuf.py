@@ -2,7 +2,9 @@
 
 A batch of strings is one byte array plus row offsets, so that words, lines and
 hashes come from numpy passes instead of per-row Python. A *word* is a maximal run
-of bytes that are not ASCII white space; rows never share a word or a line.
+without Unicode white space, as in ``functions.text.tokens``; a character of a script
+that is written without blanks (see ALONE) is a word of its own, so that such text
+has words at all. Rows never share a word or a line.
 Null strings count as empty here; callers look at ``Texts.valid`` where it matters.
 """
 
@@ -21,6 +23,24 @@ _pow: dict[int, np.ndarray] = {}
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: white space beyond ASCII
+WIDE = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Thai, Lao, Myanmar, Khmer, kana, Han
+ALONE = [(0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3041, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+#: what starts a character that could be in WIDE or ALONE
+LEADS = np.zeros(256, bool)
+LEADS[[0xC2, 0xE0, 0xE1, 0xE2, *range(0xE3, 0xEA), 0xEF, 0xF0]] = True
+FOLDED = np.zeros(256, bool)
+FOLDED[0xC3:0xF0] = True
+_KIND = np.zeros(0x40000, np.uint8)
+_KIND[WIDE] = 1
+for _a, _b in ALONE:
+    _KIND[_a : _b + 1] = 2
+#: lower case of every character below 0x10000 whose UTF-8 form has as many bytes
+LOWER = np.arange(0x10000, dtype=np.int64)
+for _i in range(0x80, 0x10000):
+    if not 0xD800 <= _i < 0xE000 and len(_c := chr(_i).lower()) == 1 and len(_c.encode()) == len(chr(_i).encode()):
+        LOWER[_i] = ord(_c)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -97,15 +117,39 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         i = j
 
 
+def characters(data: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, code point, bytes) of the characters beyond ASCII that start at bytes with `lead`; data is valid UTF-8."""
+    at = np.flatnonzero(lead[data])
+    b = data[at].astype(np.int64)
+    size = 2 + (b >= 0xE0) + (b >= 0xF0)
+    tail = [data[np.minimum(at + i, len(data) - 1)].astype(np.int64) & 63 for i in (1, 2, 3)]
+    two, three = ((b & 31) << 6) | tail[0], ((b & 15) << 12) | (tail[0] << 6) | tail[1]
+    four = ((b & 7) << 18) | (tail[0] << 12) | (tail[1] << 6) | tail[2]
+    return at, np.where(size == 2, two, np.where(size == 3, three, four)), size
+
+
+def solid_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which bytes are no white space, places and sizes of the characters that are words of their own)."""
+    solid = ~SPACE[data]
+    at, code, size = characters(data, LEADS)
+    kind = _KIND[np.minimum(code, len(_KIND) - 1)]
+    for i in range(3):
+        wide = at[(kind == 1) & (size > i)] + i
+        solid[wide] = False
+    return solid, at[kind == 2], size[kind == 2]
+
+
 def words(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, row) of every word."""
     n = len(t.data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, z
-    solid = ~SPACE[t.data]
+    solid, alone, size = solid_bytes(t.data)
     cut = np.zeros(n + 1, bool)
     cut[t.off] = True
+    cut[alone] = True
+    cut[alone + size] = True
     begin = solid.copy()
     begin[1:] &= ~solid[:-1] | cut[1:n]
     end = solid.copy()
@@ -115,13 +159,18 @@ def words(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fold(data: np.ndarray) -> np.ndarray:
-    """Lower case for ASCII and Latin-1 letters in UTF-8 bytes."""
+    """Lower case of UTF-8 bytes, for all characters whose lower case is one character of as many bytes (see LOWER)."""
     out = data.copy()
     up = (out >= 65) & (out <= 90)
     out[up] += 32
-    two = np.flatnonzero(data[:-1] == 0xC3) + 1
-    two = two[(data[two] >= 0x80) & (data[two] <= 0x9E) & (data[two] != 0x97)]
-    out[two] += 32
+    at, code, size = characters(data, FOLDED)
+    low = LOWER[code]
+    at, low, size = at[low != code], low[low != code], size[low != code]
+    for n, lead in ((2, 0xC0), (3, 0xE0)):
+        a, c = at[size == n], low[size == n]
+        out[a] = lead | (c >> (6 * (n - 1)))
+        for i in range(1, n):
+            out[a + i] = 0x80 | ((c >> (6 * (n - 1 - i))) & 63)
     return out
 
 
@@ -145,7 +194,7 @@ def lines(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = starts[starts < n]
     ends = np.append(starts[1:], n)
     solid = np.zeros(n + 1, np.int64)
-    np.cumsum(~SPACE[t.data], out=solid[1:])
+    np.cumsum(solid_bytes(t.data)[0], out=solid[1:])
     has = solid[ends] > solid[starts]
     starts, ends = starts[has], ends[has]
     row = np.searchsorted(t.off, starts, side="right") - 1
