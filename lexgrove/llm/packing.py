@@ -8,11 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexgrove.llm.shared import cut
 from lexgrove.llm.textbuf import Texts, pieces, words
 
-WINDOW, DOCS_PER_RUN = 2048, 1024
+WINDOW, WINDOWS_PER_RUN = 2048, 512
 #: token equivalents that a window end costs: at a document's end, a sentence's end, inside a sentence
 PENALTY = (0, 64, 512)
 SCHEMA = "run long, window int, n_tokens int, padding int, cut int, doc_ids array<long>, starts array<int>, ends array<int>"
@@ -88,18 +90,22 @@ def split_units(lengths: np.ndarray, per_doc: np.ndarray, window: int) -> tuple[
     return units, kinds, docs
 
 
-def pack(docs: DataFrame, window: int = WINDOW, docs_per_run: int = DOCS_PER_RUN, penalty: tuple[int, int, int] = PENALTY) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, windows_per_run: int = WINDOWS_PER_RUN, penalty: tuple[int, int, int] = PENALTY) -> DataFrame:
     """Windows of at most `window` tokens over the documents in order of doc_id.
 
-    A token is a word (a run of bytes without ASCII white space). Windows end between sentences or documents where that
-    is cheapest; inside a sentence only where it is longer than an eighth of a window. The order is kept in runs of
-    documents with the same doc_id // docs_per_run, each of which is solved exactly: run boundaries end a window, so
-    runs are independent tasks and the result doesn't depend on partitions. Rows: run, window (from 0), n_tokens,
+    A token is a word (see textbuf). Windows end between sentences or documents where that
+    is cheapest; inside a sentence only where it is longer than an eighth of a window. The order is cut into runs by the tokens before
+    a document (one for every window * windows_per_run of them, whatever the ids are), each of which is solved exactly: run boundaries end
+    a window, so runs are independent tasks and the result doesn't depend on partitions. Of equal costs the earliest start of the
+    last window wins. Rows: run, window (from 0), n_tokens,
     padding, cut (0 after a document, 1 after a sentence, 2 inside one) and the window's parts: doc_ids and the
     word ranges starts, ends of each. Every word of every document is in exactly one window. Only sentence lengths
-    are shuffled, no text. Null ids, and null or blank texts, have no window. Rows that share a doc_id
-    follow one another, shorter first, each with its own part.
+    are shuffled, no text. Null ids, and null or blank texts, have no window. Rows that share a doc_id, repeated rows too,
+    follow one another, shorter first, each with its own part. A text of any length is in one run. Columns other than doc_id and text
+    are ignored, whatever their names. An empty table gives no row.
     """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(
         "doc_id is not null and text is not null"
     )
@@ -109,17 +115,23 @@ def pack(docs: DataFrame, window: int = WINDOW, docs_per_run: int = DOCS_PER_RUN
             for part, t in pieces(batch, "text"):
                 length, count = sentence_lengths(t)
                 off = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-                ids = np.asarray(part.column(0))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids // docs_per_run), part.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(length.astype(np.int32)))],
-                    names=["run", "doc_id", "lengths"],
-                ).filter(pa.array(count > 0))
+                columns = [part.column(0), pa.array(np.bincount(np.repeat(np.arange(len(t)), count), weights=length, minlength=len(t)).astype(np.int64))]
+                lists = pa.ListArray.from_arrays(pa.array(off), pa.array(length.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*columns, lists], names=["doc_id", "n", "lengths"]).filter(pa.array(count > 0))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            n = np.asarray(batch.column(1))
+            at = np.asarray(batch.column(3)) + before + np.cumsum(n) - n
+            before += int(n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(at // (window * windows_per_run)), pa.array(at), batch.column(0), batch.column(2)], names=["run", "at", "doc_id", "lengths"])
 
     def solve(table: pa.Table) -> pa.Table:
         run = table.column("run")[0].as_py()
         ids = np.asarray(table.column("doc_id"))
         lists = [np.asarray(x.values) for x in table.column("lengths")]
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], lists[i].sum(), lists[i].tolist()))
+        order = np.argsort(np.asarray(table.column("at")), kind="stable")
         units, kinds, owner = split_units(np.concatenate([lists[i] for i in order]), np.array([len(lists[i]) for i in order]), window)
         ends, _ = cuts(units, kinds, window, penalty)
         rows, at, inside = [], 0, {}
@@ -137,4 +149,10 @@ def pack(docs: DataFrame, window: int = WINDOW, docs_per_run: int = DOCS_PER_RUN
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         return pa.table({name: pa.array(col, k) for name, k, col in zip(names, kind, zip(*rows, strict=True), strict=True)})
 
-    return src.mapInArrow(measure, "run long, doc_id long, lengths array<int>").groupBy("run").applyInArrow(solve, SCHEMA)
+    measured = cut(src.mapInArrow(measure, "doc_id long, n long, lengths array<int>").withColumn("tie", F.monotonically_increasing_id()))
+    order = ["doc_id", "n", F.xxhash64("lengths"), "tie"]  # rows that tie up to here are equal in all that counts
+    ranges = cut(measured.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n", "lengths", F.spark_partition_id().alias("part")))
+    earlier = F.sum("s").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    starts = ranges.groupBy("part").agg(F.sum("n").alias("s")).select("part", F.coalesce(earlier, F.lit(0)).alias("start"))
+    placed = ranges.join(F.broadcast(starts), "part").select("doc_id", "n", "lengths", "start")  # a row for each partition
+    return placed.mapInArrow(number, "run long, at long, doc_id long, lengths array<int>").groupBy("run").applyInArrow(solve, SCHEMA)
