@@ -9,19 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset a folder of our own is made if all run on this machine
+    (tests); on a cluster that is an error, as executors don't share local folders."""
     sc = spark.sparkContext
     have = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     now = sc._jsc.sc().getCheckpointDir()
     if not have and now.isDefined():
         have = now.get()
     if not have:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         have = "file://" + tempfile.mkdtemp(prefix="lexgrove-")
     if not now.isDefined():
         sc.setCheckpointDir(have)
     return have
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that was made with fresh_path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as rows in reliable storage: plans built on it start there."""
     shared_dir(df.sparkSession)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,8 @@ WORDS64 = BITS // 64
 MAX_DISTANCE = DESIGN_DISTANCE = 50
 DESIGN_RECALL = 0.95
 SMALL, CAP = 48, 4096
-
+#: rows of a bucket above which near copies of its pivot are salted; one row of so many is looked at to find such buckets
+HOT, SAMPLED = 1 << 17, 256
 
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.float32)
 
@@ -76,16 +78,17 @@ def from_binary(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, f): 256-bit SimHash of each text's word set. Rows with a null id or without words have none."""
+    """(doc_id, h, f): a hash of the text and the 256-bit SimHash of its word set. Rows with a null id or without words have none."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = src.withColumn("h", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, t in pieces(batch, "text"):
                 f, size = text_fingerprints(t)
-                yield pa.RecordBatch.from_arrays([part.column(0), to_binary(f)], names=["doc_id", "f"]).filter(pa.array(size > 0))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), to_binary(f)], names=["doc_id", "h", "f"]).filter(pa.array(size > 0))
 
-    return src.where("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, f binary")
+    return src.where("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, h long, f binary")
 
 
 def meeting(bits: int, apart: int, among: int = BITS) -> float:
@@ -96,11 +99,12 @@ def meeting(bits: int, apart: int, among: int = BITS) -> float:
 def plan_tables(n: int, design: int = DESIGN_DISTANCE, recall: float = DESIGN_RECALL, used: int = 0) -> tuple[int, int]:
     """(sampled bits, tables): tables so that a pair at the design distance meets in one of them with probability `recall`.
 
-    Tables grow steeply with the bits, so of n rows up to 16 bits are sampled, and more only where over 256 rows would share a
-    key by chance. `used` bits are already equal, so that all differences are among the others.
+    Tables grow steeply with the bits, so at most 16 bits are sampled, and what is shuffled grows as n does: fuller buckets are split by more
+    bits where they are (see _bucket_edges). Only beyond 2**34 rows, where a bucket would outgrow a task, there are more.
+    `used` bits are already equal, so that all differences are among the others.
     """
     log = math.ceil(math.log2(max(n, 2)))
-    bits = min(48, max(8, min(16, log), log - 8))
+    bits = min(48, max(8, min(16, log), log - 18))
     p = meeting(bits, design, BITS - used)
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log1p(-p)))
 
@@ -144,6 +148,14 @@ def _all_pairs(ids: np.ndarray, f: np.ndarray, limit: int) -> list[tuple[np.ndar
     return [(ids[hit], ids[label[hit]])]
 
 
+def _middle(f: np.ndarray) -> int:
+    """The row that is nearest to the majority of each bit."""
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(f), 4096):
+        ones += np.unpackbits(np.ascontiguousarray(f[i : i + 4096]).view(np.uint8).reshape(-1, BITS // 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(distance(f, np.packbits(2 * ones > len(f)).view(U64)).argmin())
+
+
 def _peel(ids: np.ndarray, f: np.ndarray, limit: int, least: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
     """Edges of the rows close to a pivot, and the rows that are left; exact, whatever the rows are.
 
@@ -152,11 +164,7 @@ def _peel(ids: np.ndarray, f: np.ndarray, limit: int, least: int) -> tuple[list[
     """
     out = []
     while len(ids) > least:
-        ones = np.zeros(BITS, np.int64)
-        for i in range(0, len(f), 4096):
-            ones += np.unpackbits(np.ascontiguousarray(f[i : i + 4096]).view(np.uint8).reshape(-1, BITS // 8), axis=1).sum(axis=0, dtype=np.int64)
-        middle = np.packbits(2 * ones > len(f)).view(U64)
-        d = distance(f, f[int(distance(f, middle).argmin())])
+        d = distance(f, f[_middle(f)])
         p = int(np.flatnonzero(d == 0)[0])
         ball = d <= limit
         ball[p] = False
@@ -227,70 +235,144 @@ def bucket_pairs(key: np.ndarray, ids: np.ndarray, f: np.ndarray, limit: int, ca
     return np.concatenate([z, *a]), np.concatenate([z, *b])
 
 
+@dataclass
+class Hot:
+    """Buckets of one table with very many rows: keys in order, the pivot of each, and into how many groups its near copies go."""
+
+    key: np.ndarray
+    pivot: np.ndarray
+    groups: np.ndarray
+
+    def spread(self, key: np.ndarray, f: np.ndarray, ids: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, group) of every row with its groups: near copies of a pivot have one, the pivot and all other rows every one.
+
+        Whatever is within limit / 2 of the pivot is linked to it in its own group, so that two of them needn't meet; any other pair
+        of the bucket meets in a group."""
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        hit = self.key[at] == key
+        d = distance(f, self.pivot[at])
+        n = np.where(hit, self.groups[at], 1)
+        one = ~hit | ((d <= limit // 2) & (d > 0))
+        times = np.where(one, 1, n)
+        row = np.repeat(np.arange(len(key)), times)
+        group = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        own = (splitmix(ids, 13) % n.astype(U64)).astype(np.int64)
+        return row, np.where(one[row], own[row], group)
+
+
+def hot_buckets(unique: DataFrame, n: int, bits: int, tables: int, limit: int, seed: int) -> dict[int, Hot]:
+    """Buckets of more than about HOT rows, found in a sample, which has no say in what is found but only in how it is spread.
+
+    A bucket that is hot has eight times the rows that it has by chance, so there are at most 2**bits / 8 in a table: what the driver gets is bounded."""
+    least = max(HOT, 8 * n >> bits)
+    if n < least:
+        return {}
+    near = max(1, least // SAMPLED // 2)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = from_binary(batch.column("f"))
+            for t in range(tables):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), t, np.int32)), pa.array(sampled_keys(f, t, bits, seed)), batch.column("f")], names=["t", "key", "f"])
+
+    def pivot(key: tuple, rows: pa.Table) -> pa.Table:
+        f = from_binary(rows.column("f"))
+        p = f[_middle(f)]
+        m, core = len(f), int((distance(f, p) <= limit // 2).sum())
+        groups = min(-(-core * SAMPLED // least), max(1, 4 * m // max(m - core, 1)))  # at most four copies of a row on average
+        return pa.table({"t": pa.array([key[0].as_py()], pa.int32()), "key": [key[1].as_py()], "pivot": to_binary(p[None]), "groups": pa.array([groups], pa.int32())})
+
+    rows = unique.where(F.pmod(F.xxhash64("f"), F.lit(SAMPLED)) == 0).select("f").mapInArrow(keys, "t int, key long, f binary")
+    big = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") >= near).select("t", "key")
+    big = cut(big)
+    if big.isEmpty():
+        return {}
+    got = rows.join(big.hint("shuffle_hash"), ["t", "key"], "left_semi").groupBy("t", "key").applyInArrow(pivot, "t int, key long, pivot binary, groups int")
+    got = got.where("groups > 1").toArrow().sort_by([("t", "ascending"), ("key", "ascending")])
+    t, key, f, groups = np.asarray(got.column("t")), np.asarray(got.column("key")), from_binary(got.column("pivot")), np.asarray(got.column("groups"))
+    return {int(x): Hot(key[t == x], f[t == x], groups[t == x].astype(np.int64)) for x in np.unique(t)}
+
+
 def near_edges(
     prints: DataFrame, max_distance: int = MAX_DISTANCE, design: int | None = None, recall: float = DESIGN_RECALL, seed: int = 11
 ) -> DataFrame:
-    """Edges (a, b) whose components are the near-duplicate groups of (doc_id, f).
+    """Edges (a, b) whose components are the near-duplicate groups of distinct fingerprints (uid, f).
 
-    Equal fingerprints are joined to their smallest id without a search. Distinct ones go to
-    several tables; a row of a table carries its fingerprint, so that distances are verified
+    They go to several tables; a row of a table carries its fingerprint, so that distances are verified
     where rows meet and nothing is joined back. Tables are planned for `design`, max_distance if it isn't given.
     """
-    shared = prints.groupBy("f").agg(F.min("doc_id").alias("rep"))
-    unique = cut(shared)
-    bits, tables = plan_tables(unique.count(), max_distance if design is None else design, recall)
-    same = prints.join(unique, "f").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    n = prints.count()
+    bits, tables = plan_tables(n, max_distance if design is None else design, recall)
+    hot = hot_buckets(prints, n, bits, tables, max_distance, seed)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = from_binary(batch.column("f"))
+            f, ids = from_binary(batch.column("f")), np.asarray(batch.column("uid"))
             for table in range(tables):
+                key, uid, bits_of = sampled_keys(f, table, bits, seed), batch.column("uid"), batch.column("f")
+                group = np.zeros(len(f), np.int64)
+                if table in hot:
+                    row, group = hot[table].spread(key, f, ids, max_distance)
+                    key, uid, bits_of = key[row], uid.take(pa.array(row)), bits_of.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(f), table, np.int32)),
-                        pa.array(sampled_keys(f, table, bits, seed)),
-                        batch.column("rep"),
-                        batch.column("f"),
-                    ],
-                    names=["t", "key", "rep", "f"],
+                    [pa.array(np.full(len(key), table, np.int32)), pa.array(key), pa.array(group.astype(np.int32)), uid, bits_of],
+                    names=["t", "key", "g", "uid", "f"],
                 )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            whole = pa.Table.from_batches([batch])
-            if rest is not None:
-                whole = pa.concat_tables([rest, whole])
-            key, t = np.asarray(whole.column("key")), np.asarray(whole.column("t"))
-            change = np.flatnonzero((key[1:] != key[:-1]) | (t[1:] != t[:-1]))
+            if not batch.num_rows:
+                continue
+            cols = [np.asarray(batch.column(c)) for c in ("t", "key", "g")]
+            if held and any(c[0] != held[-1].column(name)[-1].as_py() for c, name in zip(cols, ("t", "key", "g"), strict=True)):
+                yield found(held)
+                held = []
+            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0))
             done = int(change[-1]) + 1 if len(change) else 0  # the last bucket may go on in the next batch
             if done:
-                yield found(whole.slice(0, done))
-            rest = whole.slice(done)
-        if rest is not None and rest.num_rows:
-            yield found(rest)
-
-    def found(rows: pa.Table) -> pa.RecordBatch:
-        key = splitmix(np.asarray(rows.column("key"))) ^ splitmix(np.asarray(rows.column("t")), 1)
-        a, b = bucket_pairs(key, np.asarray(rows.column("rep")), from_binary(rows.column("f")), max_distance, used=bits)
+                yield found([*held, batch.slice(0, done)])
+                held = []
+            held.append(batch.slice(done))
+        if held:
+            yield found(held)
+
+    def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        key = splitmix(np.asarray(rows.column("key"))) ^ splitmix(np.asarray(rows.column("t")).astype(np.int64) << 32 | np.asarray(rows.column("g")), 1)
+        a, b = bucket_pairs(key, np.asarray(rows.column("uid")), from_binary(rows.column("f")), max_distance, used=bits)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    rows = unique.select("rep", "f").mapInArrow(expand, "t int, key long, rep long, f binary")
+    rows = prints.select("uid", "f").mapInArrow(expand, "t int, key long, g int, uid long, f binary")
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.repartition(parts, "t", "key").sortWithinPartitions("t", "key").mapInArrow(meet, "a long, b long")
-    return same.union(met)
+    return rows.repartition(parts, "t", "key", "g").sortWithinPartitions("t", "key", "g").mapInArrow(meet, "a long, b long")
+
+
+def row_groups(docs: DataFrame, max_distance: int = MAX_DISTANCE, **how) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, h, n) of all rows with words, (doc_id, h, group_id, group_size, kept) of those that have a near-duplicate).
+
+    h is a hash of the text and n how many rows have this doc_id and text: they are one document, of which n rows there are. Rows that share a
+    doc_id alone are documents of their own. A group is named by its first document in order of (doc_id, h), which is the one that is kept."""
+    rows = cut(fingerprints(docs).groupBy("f", "doc_id", "h").agg(F.count("*").alias("n")))
+    unique = cut(rows.groupBy("f").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("docs")).withColumn("uid", F.monotonically_increasing_id()))
+    comp = components(near_edges(unique.select("uid", "f"), max_distance, **how)).select(F.col("node").alias("uid"), "group")
+    named = unique.join(comp.hint("shuffle_hash"), "uid", "left").where("docs > 1 or group is not null")
+    named = cut(named.select("f", "first", "docs", F.coalesce("group", "uid").alias("group")))
+    sized = named.groupBy("group").agg(F.min("first").alias("head"), F.sum("docs").alias("size"))
+    labels = named.join(sized.hint("shuffle_hash"), "group").select("f", "head", "size")
+    of = rows.join(labels.hint("shuffle_hash"), "f").select(
+        "doc_id", "h", F.col("head.doc_id").alias("group_id"), F.col("size").alias("group_size"), (F.struct("doc_id", "h") == F.col("head")).alias("kept")
+    )
+    return rows.select("doc_id", "h", "n"), of
 
 
 def groups(docs: DataFrame, max_distance: int = MAX_DISTANCE, **how) -> DataFrame:
     """Near-duplicate groups: (doc_id, group_id, group_size, kept), only of documents that have a near-duplicate.
 
     A group is a connected component of pairs within `max_distance` of 256 bits; group_id is its
-    smallest doc_id, the one document that is kept. Rows that share a doc_id count as one document.
-    Null ids, and texts that are null or have no words, belong to no group.
+    smallest doc_id, the one document that is kept (of several texts with this doc_id one, by a hash of the text). Rows that
+    share doc_id and text count as one document; rows that share a doc_id alone are documents of their own, each with its own row.
+    Null ids, and texts that are null or have no words, belong to no group. Whole texts count, however long. Columns other than doc_id
+    and text are ignored, whatever their names. An empty table gives no row.
     """
-    prints = cut(fingerprints(docs))
-    comp = components(near_edges(prints, max_distance, **how))
-    sized = comp.groupBy("group").agg(F.count("*").alias("n"))
-    return comp.join(sized, "group").select(
-        F.col("node").alias("doc_id"), F.col("group").alias("group_id"), F.col("n").alias("group_size"), (F.col("node") == F.col("group")).alias("kept")
-    )
+    return row_groups(docs, max_distance, **how)[1].drop("h")

@@ -122,6 +122,15 @@ def test_run_is_the_stages_one_after_another(spark, steps):
     assert sorted(map(tuple, got)) == sorted(map(tuple, steps[-1][1]))
 
 
+def test_a_document_is_an_id_with_its_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a, "en", "s", 1), (2, a, "en", "s", 1), (2, b, "en", "s", 1), (3, c, "fr", "t", 2), (3, c, "en", "z", 9), (3, c, "fr", "t", 2)]
+    rows += [(4, a + " more", "en", "s", 1)] * 2 + [(None, a, "en", "s", 1)] * 2 + [(5, None, "en", "s", 1)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(map(tuple, P.near_duplicate_stage(spark, docs, SF).collect()), key=repr)
+    assert got == sorted([rows[0], rows[2], rows[4], *rows[-4:]], key=repr)
+
+
 LONG = " ".join(f"p{i}" for i in range(60))
 ODD = [
     (1, "A fine sentence of plain words.", "en", "a", 31),
@@ -150,7 +159,7 @@ def test_every_stage_on_odd_tables(spark, tmp_path, rows):
         if not rows:
             assert got == []
         elif i == 1:
-            assert [r.doc_id for r in got].count(1) == 2  # rows that share an id are one document
+            assert [r.doc_id for r in got].count(1) == 1  # rows that repeat id and text are one
             assert [r.text for r in got if r.doc_id is None] == [ODD[3][1]] and any(r.doc_id == 2 for r in got)
         elif i == 2:
             assert next(r.text for r in got if r.doc_id == 6) == "Begins there, otherwise. two."  # the passage has "tail" too

@@ -93,7 +93,7 @@ def test_recall_of_the_search_against_all_pairs(spark):
     base = g.integers(0, 1 << 63, (1500, 4), dtype=np.uint64)
     f = np.concatenate([base, np.array([flipped(g, b, 60) for b in base[:700]])])
     ids = list(range(len(f)))
-    prints = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in zip(ids, f, strict=True)], "doc_id long, f binary")
+    prints = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in zip(ids, f, strict=True)], "uid long, f binary")
     want, pairs = near_components(ids, f, simhash.MAX_DISTANCE)
     got = {r.node: r.group for r in components(simhash.near_edges(prints)).collect()}
     assert np.mean([a in got and b in got and got[a] == got[b] for a, b in pairs]) >= 0.9
@@ -121,6 +121,45 @@ def test_pairs_at_the_accept_distance_meet_in_a_table():
     assert met.mean() >= 0.9
 
 
+@pytest.mark.parametrize("groups_of", [64, 1 << 17])
+def test_hot_buckets_are_spread_without_loss(spark, monkeypatch, groups_of):
+    """A third of all rows are near copies of one text; others are a little farther from it, linked by copies alone."""
+    monkeypatch.setattr(simhash, "HOT", groups_of)
+    monkeypatch.setattr(simhash, "SAMPLED", 2)
+    g = np.random.default_rng(9)
+    base = g.integers(0, 1 << 63, (1400, 4), dtype=np.uint64)
+    copies = np.unique(np.array([flipped(g, base[0], 10) for _ in range(700)]), axis=0)
+    shell = np.array([flipped(g, base[0], 60) for _ in range(60)])
+    f = np.concatenate([base, copies, shell])
+    ids = list(range(len(f)))
+    prints = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in zip(ids, f, strict=True)], "uid long, f binary").repartition(3)
+    if groups_of == 64:
+        bits, tables = simhash.plan_tables(len(f))
+        monkeypatch.setattr(simhash, "plan_tables", lambda *_, **__: (bits, tables))
+        hot = simhash.hot_buckets(prints, 1 << 20 >> 9, bits, tables, simhash.MAX_DISTANCE, 11)
+        assert hot and max(h.groups.max() for h in hot.values()) > 1
+    want, pairs = near_components(ids, f, simhash.MAX_DISTANCE)
+    got = {r.node: r.group for r in components(simhash.near_edges(prints)).collect()}
+    assert set(got) <= set(want)
+    assert np.mean([a in got and b in got and got[a] == got[b] for a, b in pairs]) >= 0.99
+
+
+def test_a_pair_of_a_hot_bucket_meets_or_is_linked_through_the_pivot():
+    g = np.random.default_rng(10)
+    pivot = g.integers(0, 1 << 63, 4, dtype=np.uint64)
+    f = np.array([pivot, *[flipped(g, pivot, 70) for _ in range(300)]])
+    hot = simhash.Hot(np.array([7]), pivot[None], np.array([5]))
+    row, group = hot.spread(np.full(len(f), 7), f, np.arange(len(f)), 50)
+    of = [set(group[row == i].tolist()) for i in range(len(f))]
+    core = simhash.distance(f, pivot) <= 25
+    assert of[0] == set(range(5))
+    for i in range(len(f)):
+        assert of[i] and of[i] <= set(range(5))
+        for j in range(i):
+            assert of[i] & of[j] or (core[i] and core[j])
+    assert hot.spread(np.full(3, 8), f[:3], np.arange(3), 50)[1].tolist() == [0, 0, 0]
+
+
 def test_query_against_all_pairs_of_the_table(spark):
     from lexgrove.llm.queries import op7_simhash_bit_sampling
 
@@ -154,11 +193,12 @@ ROWS = [
     (6, "w " * 100_000 + "end"),
     (7, "w " * 90_000 + "end"),
     (8, "nothing like any of the others at all, really"),
+    (9, "a text of its own, though its id has another one too"),
 ]
 
 
 def test_edge_cases(spark):
-    docs = spark.createDataFrame(ROWS, "doc_id long, text string").select("*", *[F.lit("z").alias(c) for c in ("f", "rep", "group", "node", "n")])
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").select("*", *[F.lit("z").alias(c) for c in ("f", "h", "uid", "first", "docs", "group", "node", "n")])
     got = {r.doc_id: (r.group_id, r.group_size, r.kept) for r in simhash.groups(docs).collect()}
     assert got == {3: (3, 3, True), 5: (3, 3, False), 9: (3, 3, False), 6: (6, 2, True), 7: (6, 2, False)}
 
