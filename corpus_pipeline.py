@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrove.llm import mixing, packing, quality_rules, simhash, suffix_dedup
-from lexgrove.llm.shared import cut, fresh_path, remove
+from lexgrove.llm.shared import cut, fresh_path, made, sweep
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -71,12 +71,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet in the shared folder and read again."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    """The stages over documents, each written as Parquet in the shared folder and read again; what a stage left there goes after the next."""
+    docs, start = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
     for i, (_, stage) in enumerate(STAGES):
         path = fresh_path(spark, f"stage{i}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        if before:
-            remove(spark, before)
-        docs, before = spark.read.parquet(path), path
+        sweep(spark, start, path)
+        docs = spark.read.parquet(path)
     return docs

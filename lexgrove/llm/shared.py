@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,9 +38,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: folders of this session that hold what results are still to be read from
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder name in the shared folder. The folder stays until sweep() or whoever owns the shared folder removes it."""
+    _made.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def sweep(spark: SparkSession, since: int, keep: str) -> None:
+    """Remove the folders that were made after the first `since`, except `keep`; nothing may be read from them any more."""
+    for path in [p for p in _made[since:] if p != keep]:
+        remove(spark, path)
+        _made.remove(path)
+
+
+def made() -> int:
+    return len(_made)
+
+
+def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of an address or local path, and the path in it."""
+    return pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
 
 
 def unused(name: str, columns: list[str]) -> str:

@@ -1,16 +1,20 @@
 """Passages that repeat across documents, by suffix arrays over words.
 
 1. Each shard (consecutive documents, a bounded number of words) is sorted by Larsson-Sadakane
-   refinement, and Kasai's scan gives common prefixes. Suffixes that share at least MIN_WORDS
-   words form a run; in a run only the suffixes of its first document can still be the first
-   occurrence in the whole corpus, and all later ones are repeats already.
-2. The first suffixes go to partitions by a hash of their MIN_WORDS words, as sorted, compressed
-   blocks, one for each shard and partition. A partition merges its blocks by binary search;
-   equal neighbours from different documents are repeats of the one with the smallest doc_id.
+   refinement, and Kasai's scan gives the common prefixes of its suffix array. Suffixes that share at least
+   MIN_WORDS words form a run; in a run only the suffixes of its first document can still be the first
+   occurrence in the whole corpus, and all later ones are repeats already. The shard's words are kept in a file.
+2. The first suffixes go to partitions by a hash of their MIN_WORDS words, an order that all shards share without a common
+   alphabet, as sorted, compressed blocks, one for each shard and partition. A partition merges its blocks by binary search;
+   equal neighbours from different documents repeat the one with the smallest doc_id.
+3. Each shard gets its repeats back, and compares them word by word with the shard that has the first occurrence. Only
+   what is equal there counts, so that a result never rests on a hash of several words.
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.llm.shared import unused
-from lexgrove.llm.textbuf import U64, pieces, spans_hash, splitmix, texts_of, word_hashes, words
+from lexgrove.llm.shared import filesystem, fresh_path, unused
+from lexgrove.llm.textbuf import U64, pieces, spans_hash, texts_of, word_hashes, words
 
 MIN_WORDS, SHARD_WORDS = 50, 1 << 20
 LANE = 256
@@ -54,8 +58,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return sa
 
 
-def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """min(most, length of the common prefix of sa[i-1] and sa[i]) for each i, 0 for i = 0, by Kasai's scan.
+def common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of sa[i-1] and sa[i] for each i, 0 for i = 0, by Kasai's scan.
 
     The text is scanned in lanes at once; within a lane each position starts from what the one before left."""
     n = len(s)
@@ -74,7 +78,7 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     while len(at):
         p = prev[at]
         i, j = np.minimum(at + h, n), np.minimum(p + h, n)
-        same = (p >= 0) & (h < most) & (padded[i] == padded[j]) & (i < n) & (j < n)
+        same = (p >= 0) & (padded[i] == padded[j]) & (i < n) & (j < n)
         h = np.where(same, h + 1, h)
         done = ~same
         common[at[done]] = h[done]
@@ -91,8 +95,8 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
 def shard_firsts(tokens: np.ndarray, start: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """One shard: tokens, first token of each document (and the end), document ids.
 
-    Returns (hash, doc, position) of suffixes that are the first of their k words in this shard,
-    and (doc, position) of those that repeat a smaller doc of it. Positions count from their document's start."""
+    Returns (hash, doc, token) of suffixes that are the first of their k words in this shard,
+    and the tokens of those that repeat a smaller doc of it."""
     n, d = len(tokens), len(doc)
     length = np.diff(start)
     row = np.repeat(np.arange(d), length)
@@ -105,7 +109,7 @@ def shard_firsts(tokens: np.ndarray, start: np.ndarray, doc: np.ndarray, k: int)
     back = np.full(n + d, -1, np.int64)
     back[place] = np.arange(n)
     sa = suffix_array(s)
-    lcp = common_prefixes(s, sa, k)
+    lcp = common_prefixes(s, sa)
     run = np.cumsum(lcp < k) - 1
     tok = back[sa]
     fits = tok >= 0
@@ -113,15 +117,17 @@ def shard_firsts(tokens: np.ndarray, start: np.ndarray, doc: np.ndarray, k: int)
     tok, run = tok[fits], run[fits]
     if not len(tok):
         z = np.zeros(0, np.int64)
-        return np.zeros(0, U64), z, z, z, z
+        return np.zeros(0, U64), z, z, z
     owner = doc[row[tok]]
     head = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
     size = np.diff(np.append(head, len(run)))
     lowest = np.repeat(np.minimum.reduceat(owner, head), size)
-    pos = tok - start[row[tok]]
     first = owner == lowest
-    key = spans_hash(tokens, tok[first], tok[first] + k)
-    return key, owner[first], pos[first], owner[~first], pos[~first]
+    return window_keys(tokens, tok[first], k), owner[first], tok[first], tok[~first]
+
+
+def window_keys(tokens: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    return spans_hash(tokens, at, at + k)
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -155,40 +161,67 @@ def merge(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndar
     return tuple(out)
 
 
-def _blocks(doc: np.ndarray, pos: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
-    """Repeats by the partition of their document."""
-    if not len(doc):
-        return []
-    part = (splitmix(doc, 5) % U64(parts)).astype(np.int64)
-    order = np.lexsort((pos, doc, part))
-    doc, pos, part = doc[order], pos[order].astype(np.int32), part[order]
-    edge = np.searchsorted(part, np.arange(parts + 1))
-    return [(p, _pack(doc[i:j], pos[i:j])) for p, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if j > i]
+class _Shard:
+    """The file of a shard: number of documents, (doc_id, text hash, first token) of each, and 32 bits of the hash of each word."""
 
+    def __init__(self, path: str):
+        fs, at = filesystem(path)
+        self.file = fs.open_input_file(at)
+        self.n = int(np.frombuffer(self.file.read_at(8, 0), np.int64)[0])
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, shard_words: int = SHARD_WORDS, parts: int | None = None) -> DataFrame:
-    """Stretches of words that an earlier document has too: (doc_id, start_word, end_word), end exclusive.
+    def documents(self) -> np.ndarray:
+        return np.frombuffer(self.file.read_at(24 * self.n, 8), np.int64).reshape(3, self.n)
 
-    A word is a run of bytes without ASCII white space. Word p of document d is in a stretch if some window of
-    `min_words` words over p also occurs in a document with a smaller doc_id; stretches are maximal. The first
-    document of a passage has no row for it. Repeats inside one document are left alone, and rows that share a
-    doc_id are one document: they never repeat one another. Null ids, and null, empty or shorter texts, give no row.
-    Windows are compared in full within a shard, and by a 64-bit hash of all their words across shards.
-    """
+    def words(self, begin: int, end: int) -> np.ndarray:
+        return np.frombuffer(self.file.read_at(4 * (end - begin), 8 + 24 * self.n + 4 * begin), np.uint32)
+
+    @staticmethod
+    def write(path: str, doc: np.ndarray, text: np.ndarray, start: np.ndarray, tokens: np.ndarray) -> None:
+        fs, at = filesystem(path)
+        fs.create_dir(at.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(at, compression=None) as out:
+            out.write(np.concatenate([[len(doc)], doc, text, start]).astype(np.int64).tobytes())
+            out.write((tokens >> U64(32)).astype(np.uint32).tobytes())
+
+
+def equal_windows(own: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
+    """For each window of k words of two equally long stretches, whether they have the same words."""
+    wrong = np.concatenate([[0], np.cumsum(own != other)])
+    return wrong[k:] == wrong[:-k]
+
+
+def _same(mine: _Shard, tok: np.ndarray, other: np.ndarray, at: np.ndarray, files: list[str], k: int) -> np.ndarray:
+    """Whether the windows at `tok` have the words of those at `at` of the shards files[other]; stretches are read once."""
+    order = np.lexsort((tok, at - tok, other))
+    t, o, a = tok[order], other[order], at[order]
+    head = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (t[1:] != t[:-1] + 1) | (a[1:] != a[:-1] + 1)))
+    ok, shard, which = np.zeros(len(tok), bool), None, -1
+    for i, j in zip(head.tolist(), np.append(head[1:], len(t)).tolist(), strict=True):
+        if o[i] != which:
+            shard, which = _Shard(files[o[i]]), o[i]
+        n = j - i + k - 1
+        ok[order[i:j]] = equal_windows(mine.words(int(t[i]), int(t[i]) + n), shard.words(int(a[i]), int(a[i]) + n), k)
+    return ok
+
+
+def stretches(docs: DataFrame, min_words: int = MIN_WORDS, shard_words: int = SHARD_WORDS, parts: int | None = None) -> DataFrame:
+    """(doc_id, text_hash, start_word, end_word): as repeats, with a hash of the text that has the stretch."""
     spark = docs.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = fresh_path(spark, "shards")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(
         "doc_id is not null and text is not null"
     )
+    src = src.withColumn("h", F.xxhash64("text"))
     k = min_words
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in batches:
             for part, t in pieces(batch, "text", 2 << 20):
                 h, _, _, row = word_hashes(t)
-                held.append((h, np.bincount(row, minlength=len(t)), np.asarray(part.column(0))))
+                held.append((h, np.bincount(row, minlength=len(t)), np.asarray(part.column(0)), np.asarray(part.column(2))))
                 size += len(h)
                 if size >= shard_words:
                     yield from flush(held)
@@ -197,67 +230,107 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, shard_words: int = SHAR
             yield from flush(held)
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        tokens, count, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+        tokens, count, doc, text = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        key, fd, fp, rd, rp = shard_firsts(tokens, np.concatenate([[0], np.cumsum(count)]), doc, k)
+        start = np.concatenate([[0], np.cumsum(count)])
+        path = f"{folder}/{uuid.uuid4().hex}"  # a new name for each attempt; only those of attempts that end well are named in rows
+        _Shard.write(path, doc, text, start[:-1], tokens)
+        key, fd, ft, late = shard_firsts(tokens, start, doc, k)
         del tokens
-        # the top bits choose the partition, so a sorted list is cut at splitters found by binary search
         order = np.argsort(key)
-        key, fd, fp = key[order], fd[order], fp[order].astype(np.int32)
+        key, fd, ft = key[order], fd[order], ft[order].astype(np.int32)
+        # the top bits choose the partition, so a sorted list is cut at splitters found by binary search
         edge = np.searchsorted(key, np.array([((p << 64) + parts - 1) // parts for p in range(parts)], U64))
         edge = np.append(edge, len(key))
-        rows = [(p, 0, _pack(key[i:j], fd[i:j], fp[i:j])) for p, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if j > i]
-        rows += [(p, 1, blob) for p, blob in _blocks(rd, rp, parts)]
+        rows = [(p, 0, _pack(key[i:j], fd[i:j], ft[i:j])) for p, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if j > i]
+        if len(late):
+            rows.append((zlib.crc32(path.encode()) % parts, 1, _pack(np.sort(late).astype(np.int32))))
         for i in range(0, len(rows), 16):
             p, kind, blob = zip(*rows[i : i + 16], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["part", "kind", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(kind, pa.int32()), pa.array([path] * len(p)), pa.array(blob, pa.binary())], names=["part", "kind", "file", "blob"])
 
     def meet(table: pa.Table) -> pa.Table:
+        files: dict[str, int] = {}
         runs, out = [], []
-        for p, kind, blob in zip(*(table.column(c).to_pylist() for c in ("part", "kind", "blob")), strict=True):
-            if kind == 1:
-                out.append((p, blob))
-            else:
-                runs.append(tuple(_unpack(blob, (U64, np.int64, np.int32))))
+        for kind, path, blob in zip(*(table.column(c).to_pylist() for c in ("kind", "file", "blob")), strict=True):
+            if kind == 1:  # repeats inside a shard pass through
+                out.append((path, blob, None))
+                continue
+            key, doc, tok = _unpack(blob, (U64, np.int64, np.int32))
+            runs.append((key, doc, tok, np.full(len(key), files.setdefault(path, len(files)), np.int32)))
         while len(runs) > 1:
             runs.sort(key=lambda r: -len(r[0]))
             runs = [merge(runs.pop(), runs.pop()) for _ in range(len(runs) // 2)] + runs
         if runs:
-            key, doc, pos = runs[0]
+            key, doc, tok, of = runs[0]
             head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            lowest = np.repeat(np.minimum.reduceat(doc, head), np.diff(np.append(head, len(key))))
-            late = doc > lowest
-            out += _blocks(doc[late], pos[late], parts)
-        p, blob = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"part": pa.array(p, pa.int32()), "blob": pa.array(blob, pa.binary())})
+            size = np.diff(np.append(head, len(key)))
+            lowest = np.repeat(np.minimum.reduceat(doc, head), size)
+            at = np.repeat(np.minimum.reduceat(np.where(doc == lowest, np.arange(len(key)), len(key)), head), size)
+            late = np.flatnonzero(doc > lowest)
+            late = late[np.lexsort((tok[late], of[late]))]
+            names = list(files)
+            for own in np.split(late, np.flatnonzero(of[late][1:] != of[late][:-1]) + 1):
+                if len(own):
+                    used, other = np.unique(of[at[own]], return_inverse=True)
+                    out.append((names[of[own[0]]], _pack(tok[own], other.astype(np.int32), tok[at[own]]), [names[i] for i in used]))
+        path, blob, used = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"file": pa.array(path, pa.string()), "blob": pa.array(blob, pa.binary()), "files": pa.array(used, pa.list_(pa.string()))})
 
     def cover(table: pa.Table) -> pa.Table:
-        both = [_unpack(b, (np.int64, np.int32)) for b in table.column("blob").to_pylist()]
-        doc, pos = np.concatenate([b[0] for b in both]), np.concatenate([b[1] for b in both]).astype(np.int64)
-        order = np.lexsort((pos, doc))
-        doc, pos = doc[order], pos[order]
-        first = np.append(True, (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + k))
-        at = np.flatnonzero(first)
-        last = np.append(at[1:], len(doc)) - 1
-        return pa.table({"doc_id": doc[at], "start_word": pos[at].astype(np.int32), "end_word": (pos[last] + k).astype(np.int32)})
+        path = table.column("file")[0].as_py()
+        mine, files, found = _Shard(path), {}, []
+        tok, other, at = [], [], []
+        for blob, used in zip(table.column("blob").to_pylist(), table.column("files").to_pylist(), strict=True):
+            if used is None:  # repeats inside the shard were compared there
+                found.append(_unpack(blob, (np.int32,))[0])
+                continue
+            t, o, a = _unpack(blob, (np.int32, np.int32, np.int32))
+            tok.append(t)
+            other.append(np.array([files.setdefault(x, len(files)) for x in used])[o])
+            at.append(a)
+        if tok:
+            tok, other, at = (np.concatenate(x).astype(np.int64) for x in (tok, other, at))
+            found.append(tok[_same(mine, tok, other, at, list(files), k)])
+        doc, text, start = mine.documents()
+        tok = np.unique(np.concatenate(found).astype(np.int64))
+        row = np.searchsorted(start, tok, side="right") - 1
+        pos = tok - start[row]
+        first = np.append(True, (row[1:] != row[:-1]) | (pos[1:] > pos[:-1] + k)) if len(tok) else np.zeros(0, bool)
+        begin = np.flatnonzero(first)
+        last = np.append(begin[1:], len(row))[: len(begin)] - 1
+        return pa.table({"doc_id": doc[row[begin]], "text_hash": text[row[begin]], "start_word": pos[begin].astype(np.int32), "end_word": (pos[last] + k).astype(np.int32)})
+
+    met = src.mapInArrow(shard, "part int, kind int, file string, blob binary").groupBy("part").applyInArrow(meet, "file string, blob binary, files array<string>")
+    return met.groupBy("file").applyInArrow(cover, "doc_id long, text_hash long, start_word int, end_word int")
+
+
+def repeats(docs: DataFrame, **how) -> DataFrame:
+    """Stretches of words that an earlier document has too: (doc_id, start_word, end_word), end exclusive.
 
-    blocks = src.mapInArrow(shard, "part int, kind int, blob binary")
-    met = blocks.groupBy("part").applyInArrow(meet, "part int, blob binary")
-    return met.groupBy("part").applyInArrow(cover, "doc_id long, start_word int, end_word int")
+    A word is a run without white space (see textbuf). Word p of document d is in a stretch if some window of
+    `min_words` words over p also occurs in a document with a smaller doc_id; stretches are maximal. The first
+    document of a passage has no row for it. Repeats inside one document are left alone, and rows that share a
+    doc_id never repeat one another; each has its own stretches. Null ids, and null, empty or shorter texts, give no row. A text of any length
+    is in one shard. Columns other than doc_id and text are ignored, whatever their names. An empty table gives no row.
+    Windows are compared word by word (32 bits of the hash of each word), within a shard and across shards.
+    """
+    return stretches(docs, **how).drop("text_hash")
 
 
 def without_repeats(docs: DataFrame, **how) -> DataFrame:
     """docs without the stretches of repeats(): same columns, n_chars counted anew; a document of which no word is left goes.
 
     Rows without a stretch are returned as they are, null ids and null or blank texts included. Of a document that loses a
-    stretch, the white space after the stretch goes with it. Rows that share a doc_id lose the same word positions; one that has none of
-    these stays, null or blank as it may be (its n_chars is counted anew, 0 for null).
+    stretch, the white space after the stretch goes with it. Rows that share a doc_id lose each its own stretches, and those that share their
+    text too are one document. Extra columns stay, whatever their names. An empty table gives an empty one.
     """
-    cuts = repeats(docs, **how).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("cuts"))
+    cuts = stretches(docs, **how).distinct().groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("cuts"))
     names = docs.columns
-    key, begin, end = (unused(c, names) for c in ("cut_id", "cut_from", "cut_to"))
-    cuts = cuts.select(F.col("doc_id").alias(key), F.col("cuts.start_word").alias(begin), F.col("cuts.end_word").alias(end))
-    both = docs.join(cuts.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
+    key, text_hash, begin, end = (unused(c, names) for c in ("cut_id", "cut_hash", "cut_from", "cut_to"))
+    cuts = cuts.select(F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash), F.col("cuts.start_word").alias(begin), F.col("cuts.end_word").alias(end))
+    own = (F.col("doc_id").cast("long") == F.col(key)) & (F.xxhash64(F.col("text").cast("string")) == F.col(text_hash))
+    both = docs.join(cuts.hint("shuffle_hash"), own, "left").drop(key, text_hash)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,13 +15,13 @@ def test_suffix_array_and_prefixes(symbols):
     s = np.array([*symbols, 0])
     sa = suffix_dedup.suffix_array(s)
     assert sa.tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
-    lcp = suffix_dedup.common_prefixes(s, sa, 5)
+    lcp = suffix_dedup.common_prefixes(s, sa)
     for i in range(1, len(s)):
         a, b = s[sa[i - 1] :], s[sa[i] :]
         n = 0
         while n < min(len(a), len(b)) and a[n] == b[n]:
             n += 1
-        assert lcp[i] == min(n, 5)
+        assert lcp[i] == n
 
 
 @settings(max_examples=50, deadline=None)
@@ -92,6 +92,31 @@ def test_query_against_brute_force_on_a_whole_table(spark):
     assert {tuple(r) for r in op8_suffix_array_repeats(spark, sf).collect()} == brute(rows, suffix_dedup.MIN_WORDS)
 
 
+def test_words_decide_where_hashes_agree(tmp_path):
+    """Candidates across shards, right and wrong ones, against comparing words."""
+    g = np.random.default_rng(6)
+    files, words = [], []
+    for i in range(3):
+        words.append(g.integers(0, 3, 400).astype(np.uint64) << np.uint64(60))
+        files.append(str(tmp_path / f"s{i}"))
+        suffix_dedup._Shard.write(files[-1], np.array([5, 9]), np.array([1, 2]), np.array([0, 200]), words[-1])
+    words[1][100:150] = words[0][20:70]
+    suffix_dedup._Shard.write(files[1], np.array([5, 9]), np.array([1, 2]), np.array([0, 200]), words[1])
+    tok = np.concatenate([np.arange(20, 66), g.integers(0, 390, 500)])
+    other, at = np.concatenate([np.full(46, 0), g.integers(0, 2, 500)]), np.concatenate([np.arange(100, 146), g.integers(0, 390, 500)])
+    mine = suffix_dedup._Shard(files[0])
+    assert mine.documents().tolist() == [[5, 9], [1, 2], [0, 200]]
+    got = suffix_dedup._same(mine, tok, other, at, files[1:], 4)
+    want = [(words[0][t : t + 4] == words[1 + o][a : a + 4]).all() for t, o, a in zip(tok, other, at, strict=True)]
+    assert got.tolist() == want and sum(want) > 46 > len(want) - sum(want) - 500
+
+
+def test_equal_windows():
+    a = np.array([1, 2, 3, 4, 5, 6])
+    assert suffix_dedup.equal_windows(a, np.array([1, 2, 9, 4, 5, 6]), 2).tolist() == [True, False, False, True, True]
+    assert suffix_dedup.equal_windows(a[:2], a[:2], 2).tolist() == [True]
+
+
 LONG = " ".join(f"p{i}" for i in range(60))
 ROWS = [
     (1, "start " + LONG + " end", "a"),
@@ -104,16 +129,19 @@ ROWS = [
     (6, "x " * 120_000, "g"),
     (7, "x " * 100, "h"),
     (8, LONG + " " + LONG + " tail", "i"),
+    (8, "a text without any of it " * 9, "j"),  # its id has a repeat, it hasn't
+    (9, "你" + "好世界" * 30, "k"),
+    (10, "再" + "好世界" * 30, "l"),
 ]
 
 
 def test_edge_cases(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, lang string").select(
-        "*", F.length("text").cast("long").alias("n_chars"), *[F.lit("z").alias(c) for c in ("part", "kind", "blob", "cuts", "start_word", "cut_from", "cut_id", "_cut_id")]
+        "*", F.length("text").cast("long").alias("n_chars"), *[F.lit("z").alias(c) for c in ("part", "kind", "blob", "cuts", "start_word", "cut_from", "cut_id", "_cut_id", "cut_hash", "file", "h")]
     )
     got = {(r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.repeats(docs).collect()}
     assert {(2, 2, 62), (3, 0, 60), (7, 0, 100)} <= got
-    assert not any(d in (1, 4, 5, 6, None) for d, _, _ in got)
+    assert not any(d in (1, 4, 5, 6, 9, None) for d, _, _ in got)
     out = suffix_dedup.without_repeats(docs)
     assert out.columns == docs.columns
     rows = out.collect()
@@ -125,6 +153,8 @@ def test_edge_cases(spark):
     assert None not in by and "h" not in by  # nothing was left of documents 3 and 7
     assert by["i"].text == "tail"
     assert by["a"].blob == "z"
+    assert by["j"].text == ROWS[10][1]
+    assert by["k"].text == ROWS[11][1] and by["l"].text == "再"
 
 
 def test_empty_table(spark):
