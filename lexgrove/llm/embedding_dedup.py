@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -20,6 +21,10 @@ MIN_COSINE, BLOCKS, SEED = 0.9, 3, 41
 PER_CODE, BUCKET, RECALL = 2, 256, 0.95
 #: a vector in a bucket larger than this is first compared with pivots
 SMALL = 48
+#: bits of a signature, and standard deviations by which the signatures of a pair at the limit may differ more than expected
+SIGN_BITS, SLACK = 128, 4.5
+#: vectors with a partner by signature whose ids are broadcast at most; more are joined by a shuffle
+FEW = 1 << 20
 
 
 def cap_height(dims: int, share: float) -> float:
@@ -154,6 +159,45 @@ def _link(ids: np.ndarray, v: np.ndarray, limit: float) -> tuple[np.ndarray, np.
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
+def signatures(v: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """(n, SIGN_BITS / 64) signs of the vectors' products with random planes."""
+    return np.packbits(v @ planes >= 0, axis=1).view(np.uint64)
+
+
+def widest(limit: float) -> int:
+    """The number of signs that a pair at the limit has different, at most, but for SLACK standard deviations."""
+    p = math.acos(max(-1.0, min(1.0, limit))) / math.pi
+    return math.ceil(SIGN_BITS * p + SLACK * math.sqrt(SIGN_BITS * p * (1 - p)))
+
+
+def partnered(sig: np.ndarray, most: int) -> np.ndarray:
+    """Which rows of a bucket have another one with at most `most` different signs; exact, and no pair is listed.
+
+    What is close to a pivot is settled at once, together with the pivot; only the others are compared with all rows."""
+    n = len(sig)
+    out = np.zeros(n, bool)
+    rest = np.arange(n)
+    while len(rest) > SMALL:
+        d = np.bitwise_count(sig ^ sig[rest[0]]).sum(axis=1)
+        near = d <= most
+        if near.sum() > 1:
+            out |= near
+        rest = rest[1:]
+        rest = rest[~out[rest]]
+        if near.sum() * 32 < n:
+            break
+    for i in range(0, len(rest), 256):
+        at = rest[i : i + 256]
+        d = np.bitwise_count(sig[at][:, None, 0] ^ sig[None, :, 0])
+        for j in range(1, sig.shape[1]):
+            d = d + np.bitwise_count(sig[at][:, None, j] ^ sig[None, :, j])
+        near = d <= most
+        near[np.arange(len(at)), at] = False
+        out[at] |= near.any(axis=1)
+        out |= near.any(axis=0)
+    return out
+
+
 def groups(
     vectors: DataFrame, min_cosine: float = MIN_COSINE, recall: float = RECALL, id_col: str = "vec_id", seed: int = SEED
 ) -> DataFrame:
@@ -161,22 +205,33 @@ def groups(
 
     Vectors at cosine `min_cosine` or more are near-duplicates; a group is a connected component, named by its smallest id, which is kept.
     Every vector is a query. Pairs are searched in independent codes (see plan): buckets stay small at any size, and a pair at the limit
-    is found with probability `recall`, closer ones more often; what is found is verified. Vectors of equal bytes are joined first. Null ids, null vectors, those
+    is found with probability `recall`, closer ones more often. First only ids and short signatures go to the filters, which shows what
+    may have a partner there; then these vectors alone are joined on the filters and verified. Vectors of equal bytes are one vector with
+    several ids. Null ids, null vectors, those
     with a null, infinite or no entry, and zero vectors belong to no group; rows that share an id are one. Vectors of another length than
-    the longest are compared among their own length only.
+    the longest are compared among their own length only. A cosine that is exactly the limit counts (in 32-bit arithmetic). Other columns are
+    ignored, whatever their names. An empty table gives no row.
     """
-    spark = vectors.sparkSession
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("v"))
     src = src.where("id is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) > 1e30)")
     src = src.where("exists(v, x -> x <> 0)")
-    unique = cut(src.groupBy("v").agg(F.min("id").alias("rep")))
-    same = src.join(unique, "v").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    lengths = {r["d"]: r["n"] for r in unique.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            raw, off = np.asarray(pc.list_flatten(lists), np.float32), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+            raw = np.where(raw == 0, np.float32(0), raw)  # a negative zero is a zero
+            codes = [hashlib.blake2b(raw[i:j].tobytes(), digest_size=16).digest() for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), pa.array(np.diff(off).astype(np.int32))], names=["id", "code", "d"])
+
+    ids = cut(src.mapInArrow(digest, "id long, code binary, d int"))
+    first = cut(ids.groupBy("code", "d").agg(F.min("id").alias("rep")))
+    same = ids.join(first.hint("shuffle_hash"), ["code", "d"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    lengths = {r["d"]: r["n"] for r in first.groupBy("d").agg(F.count("*").alias("n")).collect()}
     edges = same
     for dims, n in sorted(lengths.items()):
         words, height, codes = plan(n, dims, min_cosine, seed, recall) if dims > 1 else (2, 0.5, 1)
-        edges = edges.union(_near(unique.where(F.size("v") == dims), dims, words, height, codes, min_cosine, parts, seed))
+        edges = edges.union(_near(src.where(F.size("v") == dims), dims, words, height, codes, min_cosine, seed))
     comp = components(edges)
     sized = comp.groupBy("group").agg(F.count("*").alias("n"))
     return comp.join(sized, "group").select(
@@ -184,50 +239,89 @@ def groups(
     )
 
 
-def _near(unique: DataFrame, dims: int, words: int, height: float, codes: int, limit: float, parts: int, seed: int) -> DataFrame:
+def _buckets(batches: Iterator[pa.RecordBatch], found) -> Iterator[pa.RecordBatch]:
+    """found() of each bucket of rows that come in order of their filter, the first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        f = np.asarray(batch.column(0))
+        if held and held[-1].column(0)[-1].as_py() != f[0]:
+            yield found(pa.Table.from_batches(held))
+            held = []
+        change = np.flatnonzero(f[1:] != f[:-1])
+        done = int(change[-1]) + 1 if len(change) else 0
+        if done:
+            yield found(pa.Table.from_batches([*held, batch.slice(0, done)]))
+            held = []
+        held.append(batch.slice(done))
+    if held:
+        yield found(pa.Table.from_batches(held))
+
+
+def _edges(f: np.ndarray) -> list[tuple[int, int]]:
+    """First row and end of each bucket of more than one row."""
+    head = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
+    end = np.append(head[1:], len(f))
+    return [(i, j) for i, j in zip(head.tolist(), end.tolist(), strict=True) if j > i + 1]
+
+
+def _near(src: DataFrame, dims: int, words: int, height: float, codes: int, limit: float, seed: int) -> DataFrame:
+    spark = src.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     books = [(rotation(dims, seed + i), codebooks(dims, words, seed + i)) for i in range(codes)]
     if dims == 1:  # two directions are all there are
         books = [(np.ones((1, 1), np.float32), [np.array([[1], [-1]], np.float32)])]
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                v, _ = unit(_matrix(part.column("v"), dims))
-                found_in = [list_decode(v @ turn, b, height) for turn, b in books]
-                row = np.concatenate([r for r, _ in found_in])
-                code = np.concatenate([splitmix(c, i) for i, (_, c) in enumerate(found_in)])
-                off = (np.arange(len(row) + 1) * dims).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(code.view(np.int64)), part.column("rep").take(pa.array(row)), pa.ListArray.from_arrays(pa.array(off), pa.array(v[row].reshape(-1)))],
-                    names=["f", "rep", "v"],
-                )
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            whole = pa.Table.from_batches([batch])
-            whole = whole if rest is None else pa.concat_tables([rest, whole])
-            f = np.asarray(whole.column("f"))
-            change = np.flatnonzero(f[1:] != f[:-1])
-            done = int(change[-1]) + 1 if len(change) else 0
-            if done:
-                yield found(whole.slice(0, done))
-            rest = whole.slice(done)
-        if rest is not None and rest.num_rows:
-            yield found(rest)
-
-    def found(rows: pa.Table) -> pa.RecordBatch:
-        f, ids = np.asarray(rows.column("f")), np.asarray(rows.column("rep"))
-        v = _matrix(rows.column("v").combine_chunks(), dims)
-        head = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, m in zip(head, np.diff(np.append(head, len(f))), strict=True):
-            if m > 1:
-                x, y = _link(ids[i : i + m], v[i : i + m], limit)
-                a.append(x)
-                b.append(y)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    rows = unique.mapInArrow(decode, "f long, rep long, v array<float>")
-    return rows.repartition(parts, "f").sortWithinPartitions("f").mapInArrow(meet, "a long, b long")
+    planes = np.random.Generator(np.random.Philox(key=[seed, 1 << 22])).standard_normal((dims, SIGN_BITS)).astype(np.float32)
+    most = widest(limit)
+
+    def decode(payload):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[bytes] = set()
+            for batch in batches:
+                for i in range(0, batch.num_rows, 256):
+                    part = batch.slice(i, 256)
+                    raw = _matrix(part.column("v"), dims)
+                    new = []  # of vectors that are equal in a partition one goes on; their ids are linked already
+                    for j, row in enumerate(np.where(raw == 0, np.float32(0), raw)):
+                        x = hashlib.blake2b(row.tobytes(), digest_size=16).digest()
+                        if x not in seen:
+                            seen.add(x)
+                            new.append(j)
+                    v, ids = unit(raw[new])[0], np.asarray(part.column("id"))[new]
+                    found_in = [list_decode(v @ turn, b, height) for turn, b in books]
+                    row = np.concatenate([r for r, _ in found_in])
+                    code = np.concatenate([splitmix(c, i) for i, (_, c) in enumerate(found_in)])
+                    yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(ids[row]), payload(v, row)], names=["f", "id", "x"])
+
+        return run
+
+    def short(v: np.ndarray, row: np.ndarray) -> pa.Array:
+        raw = np.ascontiguousarray(signatures(v, planes)[row])
+        off = np.arange(len(row) + 1, dtype=np.int32) * (SIGN_BITS // 8)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(off), pa.py_buffer(raw.view(np.uint8).reshape(-1))])
+
+    def full(v: np.ndarray, row: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array((np.arange(len(row) + 1) * dims).astype(np.int32)), pa.array(v[row].reshape(-1)))
+
+    def hopeful(rows: pa.Table) -> pa.RecordBatch:
+        f, ids = np.asarray(rows.column("f")), np.asarray(rows.column("id"))
+        x = rows.column("x").combine_chunks()
+        sig = np.frombuffer(b"".join(x.to_pylist()), np.uint64).reshape(len(f), -1)
+        some = [ids[i:j][partnered(sig[i:j], most)] for i, j in _edges(f)]
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.zeros(0, np.int64), *some])))], names=["id"])
+
+    def verified(rows: pa.Table) -> pa.RecordBatch:
+        f, ids = np.asarray(rows.column("f")), np.asarray(rows.column("id"))
+        v = _matrix(rows.column("x").combine_chunks(), dims)
+        got = [_link(ids[i:j], v[i:j], limit) for i, j in _edges(f)]
+        z = np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([z, *[g[k] for g in got]])) for k in (0, 1)], names=["a", "b"])
+
+    def met(rows: DataFrame, found, schema: str) -> DataFrame:
+        return rows.repartition(parts, "f").sortWithinPartitions("f").mapInArrow(lambda batches: _buckets(batches, found), schema)
+
+    some = cut(met(src.mapInArrow(decode(short), "f long, id long, x binary"), hopeful, "id long").distinct())
+    few = F.broadcast(some) if some.count() <= FEW else some.hint("shuffle_hash")
+    rows = src.join(few, "id", "left_semi").mapInArrow(decode(full), "f long, id long, x array<float>")
+    return met(rows, verified, "a long, b long")
