@@ -1,5 +1,6 @@
 """WARC files as a round trip; the index against the bytes of the files; ranges against their definition."""
 
+import base64
 import gzip
 import hashlib
 
@@ -56,6 +57,67 @@ def test_selection_takes_one_record_of_each_payload(spark):
     assert got == {(None, "http://a/w"), (2, ROWS[1][1]), (3, ROWS[2][1]), (5, ""), (-6, "http://z")}
 
 
+def record(kind, body, *more, http=(), version="WARC/1.0", content="application/http; msgtype=response"):
+    """A record as archives of other tools have them, made by hand."""
+    block = (b"HTTP/1.1 200 OK\r\n" + b"".join(x.encode() + b"\r\n" for x in http) + b"\r\n" + body) if http else body
+    head = [version, f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:9f1c3c5e-0000-4000-8000-00000000000a>", "WARC-Date: 2024-01-02T03:04:05Z", f"Content-Type: {content}", *more]
+    return ("\r\n".join([*head, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def b32(body):
+    return base64.b32encode(hashlib.sha1(body).digest()).decode()
+
+
+HTTP = ("Content-Type: text/html; charset=ISO-8859-1",)
+FOREIGN = [
+    (record("warcinfo", b"software: x\r\nformat: WARC File Format 1.0\r\n", content="application/warc-fields"), None, None),
+    (record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "WARC-Target-URI: http://a/"), "http://a/", None),
+    (record("response", "caf\xe9".encode("latin-1"), "WARC-Target-URI: http://a/", f"WARC-Payload-Digest: sha1:{b32('café'.encode('latin-1'))}", http=HTTP), "http://a/", "café"),
+    (record("response", b"4\r\nwiki\r\n5;x=1\r\npedia\r\n0\r\n\r\n", "WARC-Target-URI: <http://b/%41>", f"WARC-Payload-Digest: sha1:{b32(b'wikipedia')}", http=("Transfer-Encoding: chunked",)), "http://b/%41", "wikipedia"),
+    (record("response", gzip.compress(b"packed", mtime=0), "WARC-Target-URI: http://c/", http=("Content-Encoding: gzip",)), "http://c/", "packed"),
+    (record("resource", b"as it is", "WARC-Target-URI: file:///x", f"WARC-Block-Digest: sha1:{b32(b'as it is')}", version="WARC/1.1", content="text/plain"), "file:///x", "as it is"),
+    (record("revisit", b"", "WARC-Target-URI: http://a/", f"WARC-Payload-Digest: sha1:{b32(b'elsewhere')}", http=HTTP), "http://a/", None),
+    (record("metadata", b"fetchTimeMs: 12\r\n", content="application/warc-fields"), None, None),
+    (record("response", b"kept", "warc-target-uri: http://d/", f"WARC-Payload-Digest: sha256:{hashlib.sha256(b'kept').hexdigest()}", "WARC-Payload-Digest-Note: long\r\n  line", http=HTTP), "http://d/", "kept"),
+    (record("response", b"half", "WARC-Target-URI: http://e/", "WARC-Truncated: length", f"WARC-Payload-Digest: sha1:{b32(b'half and half')}", http=HTTP), "http://e/", "half"),
+    (record("response", b"odd", "WARC-Target-URI: http://f/", "WARC-Payload-Digest: blake3:abc", http=("Content-Type: text/html; charset=no-such",)), "http://f/", "odd"),
+    (record("conversion", "überführt".encode(), "WARC-Target-URI: http://g/", content="text/plain"), "http://g/", "überführt"),
+]
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_archives_of_other_tools(spark, tmp_path, packed):
+    path = str(tmp_path / ("a.warc.gz" if packed else "a.warc"))
+    with open(path, "wb") as f:
+        f.write(b"".join(gzip.compress(r) if packed else r for r, _, _ in FOREIGN))
+    idx = cut(warc.index(spark, spark.createDataFrame([(path,), (None,)], "path string")))
+    rows = idx.orderBy("offset").collect()
+    assert [(r.url, r.page_id) for r in rows] == [(u, None) for _, u, _ in FOREIGN]
+    assert all(r.record_id.startswith("<urn:uuid:") and r.date == "2024-01-02T03:04:05Z" for r in rows)
+    assert [r.type for r in rows][:3] == ["warcinfo", "request", "response"]
+    raw = open(path, "rb").read()
+    for r, (want, _, _) in zip(rows, FOREIGN, strict=True):
+        piece = raw[r.offset : r.offset + r.length]
+        assert (gzip.decompress(piece) if packed else piece + b"\r\n\r\n") == want
+    got = sorted((r.url, r.html) for r in warc.read(warc.select(idx)).collect())
+    assert got == sorted((u, h) for _, u, h in FOREIGN if h is not None)
+    assert len(warc.read(idx).collect()) == len(FOREIGN)
+
+
+@pytest.mark.parametrize("kind", ["sha1", "md5", "sha512"])
+def test_digests(kind):
+    d = hashlib.new(kind, b"x")
+    assert warc.same_digest(f"{kind}:{d.hexdigest()}", b"x") and warc.same_digest(f"{kind}:{base64.b32encode(d.digest()).decode()}", b"x")
+    assert not warc.same_digest(f"{kind}:{d.hexdigest()}", b"y")
+
+
+def test_a_plain_file_that_is_no_archive_is_an_error():
+    data = b"no archive at all\r\n\r\n"
+    with pytest.raises(ValueError, match="no record"):
+        list(warc.records(lambda o, n: data[o : o + n], len(data)))
+    assert list(warc.records(lambda o, n: b"", 0)) == []
+
+
 def test_empty_table(spark):
     idx = indexed(spark, table(spark, []))
     assert idx.collect() == []
