@@ -8,11 +8,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexgrove.llm.textbuf import SPACE, Texts, fold, pieces
 
-DIMS, CENTROIDS, SAMPLE, SEED = 4096, 4, 2000, 31
+DIMS, CENTROIDS, SAMPLE, SEED = 4096, 4, 500, 31
 SCHEMA = "doc_id long, language string, nearest string, cosine double, margin double"
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = True
@@ -100,16 +101,21 @@ def spherical_kmeans(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def train(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, per_language: int = CENTROIDS, seed: int = SEED, slack: float = 0.5) -> Centroids:
-    """Centroids from at most `sample` labelled documents (the documented bound), document frequencies from all.
+    """Centroids from at most `sample` labelled documents of each language (the documented bound), document frequencies from all.
 
-    A centroid accepts cosines down to `slack` times the lowest but 1 % of its own training rows.
+    Documents are chosen by a hash among those with an id, a label and text, so that a rare language is learnt as well as a common one. Rows
+    that are repeated in full count as one. Other columns are ignored, whatever their names; without a labelled row there is no centroid. A centroid accepts cosines down to `slack` times the lowest but 1 % of its own training rows.
     """
     df, n = document_frequency(docs)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("string").alias("y"))
-    chosen = ids.where("doc_id is not null and y is not null").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = F.broadcast(chosen.dropDuplicates(["doc_id"]))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("string").alias("y"), F.col("text").cast("string").alias("text"))
+    rows = rows.where(r"doc_id is not null and y is not null and text rlike '\\S'")
+    ids = rows.select("doc_id", "y", F.xxhash64("text").alias("h"))
+    order = W.partitionBy("y").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "h")
+    # ranks are cut off before the shuffle, so that no language has more than `sample` rows of a task in it
+    chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id", "y", "h").distinct()
+    chosen = F.broadcast(chosen)  # at most `sample` rows for each language
+    rows = rows.withColumn("h", F.xxhash64("text")).join(chosen, ["doc_id", "y", "h"]).dropDuplicates(["doc_id", "y", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, t in _blocks(batches):
@@ -119,8 +125,8 @@ def train(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, per_langua
             lists = [pa.ListArray.from_arrays(pa.array(off), pa.array(x)) for x in (at[1].astype(np.int32), c[at].astype(np.float32))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["doc_id", "y", "b", "c"])
 
-    got = rows.where("text is not null").join(chosen, "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y string, b array<int>, c array<float>").toPandas()
-    got = got.sort_values("doc_id", kind="stable")
+    got = rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y string, b array<int>, c array<float>").toPandas()
+    got = got.iloc[sorted(range(len(got)), key=lambda i: (got["doc_id"].iloc[i], list(got["b"].iloc[i]), list(got["c"].iloc[i])))]
     langs, v, owner, limit = sorted(set(got["y"])), [], [], []
     for i, lang in enumerate(langs):
         own = got[got["y"] == lang]
@@ -146,7 +152,8 @@ def identify(docs: DataFrame, model: Centroids) -> DataFrame:
     of any other language).
 
     One row for each input row. A text that is null or has no letter has no vector: all null. Of equal cosines the
-    language that sorts first wins. Rejected: cosine below the limit of the nearest centroid.
+    language that sorts first wins. Rejected: cosine below the limit of the nearest centroid. Whole texts count, however long. A null doc_id
+    stays null, repeated rows are identified alike. Other columns are ignored, whatever their names. An empty table gives no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexgrove.llm.shared import bounded
 from lexgrove.llm.textbuf import FOLDED, U64, Texts, characters, lines, pieces, solid_bytes, spans_hash, words
 from lexgrove.llm.textbuf import LOWER as LOWER_OF
 
@@ -98,7 +99,8 @@ def with_neighbours(x: np.ndarray, count: np.ndarray) -> np.ndarray:
 def labelled_lines(docs: DataFrame, labels: DataFrame, bound: int, seed: int) -> list[tuple[int, int, np.ndarray]]:
     """(quality, lines, features) of at most `bound` labelled documents, chosen by a hash of doc_id.
 
-    The bound holds what comes to the driver; rows without id, text or label are no training rows.
+    The bound holds what comes to the driver, rows that share an id included; rows without id, text or label are no training rows. Of
+    repeated labels the highest counts.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
@@ -112,8 +114,9 @@ def labelled_lines(docs: DataFrame, labels: DataFrame, bound: int, seed: int) ->
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .where("text is not null")
         .join(F.broadcast(chosen), "doc_id")
-        .select("y", "text")
+        .select("doc_id", "y", "text")
     )
+    sample = bounded(sample, bound, seed).select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

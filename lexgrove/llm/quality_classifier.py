@@ -32,7 +32,8 @@ def score(docs: DataFrame, model: Crf, threshold: float = 0.5) -> DataFrame:
 
     One row for each input row: doc_id, n_lines, quality, good (quality >= threshold).
     A null or blank text has no lines: quality null, good false. A null doc_id stays null;
-    repeated rows score alike.
+    repeated rows score alike. A quality of exactly the threshold is good. Whole texts are read, however long. Other columns are ignored,
+    whatever their names. An empty table gives no row; a model without training rows gives 0.5 to every text with lines.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 

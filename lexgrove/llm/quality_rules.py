@@ -50,8 +50,9 @@ def apply(docs: DataFrame, model: Crf, min_share: float = MIN_SHARE, columns: li
     Result, one row for each input row: doc_id, n_lines (lines that aren't blank), n_content, content_share
     (share of characters in content lines) and keep (content_share >= min_share).
     A null or blank text has no lines: 0, 0, null and keep false. A null doc_id stays null; repeated rows
-    are decided alike, each by itself. Whole texts are read. With `columns`, the result is instead
-    those columns of the rows that are kept.
+    are decided alike, each by itself. A share of exactly min_share is kept; of equally good labellings the one with lower labels (boilerplate)
+    from the end backwards counts. Whole texts are read, however long. With `columns`, the result is instead
+    those columns of the rows that are kept; other columns are ignored, whatever their names. An empty table gives no row.
     """
     src = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in columns or () if c not in ("doc_id", "text")]

@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,6 +65,11 @@ def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
 
 
+def bounded(rows: DataFrame, most: int, seed: int) -> DataFrame:
+    """At most `most` of rows(doc_id, .., text), chosen by a hash of id and text; what it sorts is bounded in each task."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", F.xxhash64("text"), "text").limit(most)
+
+
 def unused(name: str, columns: list[str]) -> str:
     """name, with as many underscores before it as make it differ from all columns."""
     taken = {c.lower() for c in columns}

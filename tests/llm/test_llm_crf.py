@@ -184,3 +184,61 @@ def test_unfitted_model_is_undecided():
     m = Crf(np.zeros((2, 2)), np.zeros((2, 2)), np.zeros(2), np.zeros(2), np.ones(2))
     p, _, _ = marginals(m.scores(np.ones((3, 2))), np.array([3]), m.trans, m.start)
     assert np.allclose(p, 0.5)
+
+
+def test_queries_against_one_document_at_a_time(spark):
+    """op3 and op5 over all documents of a table, the longest too: labels by enumeration's recursions in plain Python."""
+    from lexgrove.llm.queries import op3_quality_rules_crf, op5_quality_classifier_crf
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rules, classes = quality_rules.train(docs, labels), quality_classifier.train(docs, labels)
+    kept = {r.doc_id: r for r in op3_quality_rules_crf(spark, sf).collect()}
+    good = {r.doc_id: r for r in op5_quality_classifier_crf(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(kept) == len(good) == len(rows)
+    for r in rows:
+        lines = [x for x in r.text.split("\n") if x.strip()]
+        assert kept[r.doc_id].n_lines == good[r.doc_id].n_lines == len(lines)
+        if not lines:
+            assert not kept[r.doc_id].keep and good[r.doc_id].quality is None
+            continue
+        x, chars, _ = line_features(texts_of(pa.array([r.text])))
+        assert chars.tolist() == [len(line) for line in lines]
+        s = rules.scores(x)
+        best, back = [s[0][y] + rules.start[y] for y in (0, 1)], []
+        for t in range(1, len(lines)):
+            step = [max((0, 1), key=lambda a, y=y: best[a] + rules.trans[a][y]) for y in (0, 1)]
+            best = [best[step[y]] + rules.trans[step[y]][y] + s[t][y] for y in (0, 1)]
+            back.append(step)
+        label = [int(best[1] > best[0])]
+        for step in reversed(back):
+            label.append(step[label[-1]])
+        label = np.array(label[::-1])
+        share = (chars * label).sum() / chars.sum()
+        assert kept[r.doc_id].n_content == label.sum() and kept[r.doc_id].content_share == pytest.approx(share)
+        assert kept[r.doc_id].keep == (share >= quality_rules.MIN_SHARE)
+        wide = np.array([[*x[t], *(x[t - 1][1:] if t else np.zeros(WIDTH - 1)), *(x[t + 1][1:] if t + 1 < len(x) else np.zeros(WIDTH - 1))] for t in range(len(x))])
+        s = classes.scores(wide)
+        a, total = [np.exp(s[0] + classes.start)], []
+        for t in range(1, len(s)):
+            total.append(a[-1].sum())
+            a[-1] = a[-1] / total[-1]
+            a.append((a[-1] @ np.exp(classes.trans)) * np.exp(s[t]))
+        b = [np.ones(2)]
+        for t in range(len(s) - 1, 0, -1):
+            v = np.exp(classes.trans) @ (np.exp(s[t]) * b[0])
+            b.insert(0, v / v.sum())
+        p = np.array([f * v / (f @ v) for f, v in zip(a, b, strict=True)])[:, 1]
+        assert good[r.doc_id].quality == pytest.approx((chars * p).sum() / chars.sum(), abs=1e-9)
+        assert good[r.doc_id].good == (good[r.doc_id].quality >= 0.5)
+
+
+def test_a_share_or_quality_of_exactly_the_limit_counts(spark):
+    docs = spark.createDataFrame([(1, "abcd\nefgh")], "doc_id long, text string")
+    half = Crf(np.zeros((WIDTH, 2)), np.array([[0.0, 0.0], [0.0, -9.0]]), np.array([0.0, 1.0]), np.zeros(WIDTH), np.ones(WIDTH))  # first line content, second not
+    r = quality_rules.apply(docs, half).first()
+    assert (r.n_content, r.content_share, r.keep) == (1, 0.5, True)
+    none = Crf(np.zeros((3 * WIDTH - 2, 2)), np.zeros((2, 2)), np.zeros(2), np.zeros(3 * WIDTH - 2), np.ones(3 * WIDTH - 2))
+    r = quality_classifier.score(docs, none).first()
+    assert (r.quality, r.good) == (pytest.approx(0.5), True)

@@ -76,6 +76,36 @@ def test_each_row_against_plain_cosines(spark):
         assert model.languages[model.owner[cos.argmax()]] == got[r.doc_id].nearest
 
 
+def test_query_against_plain_cosines_of_all_documents(spark):
+    """Every document of a table, the longest ones too."""
+    from lexgrove.llm.queries import op9_language_centroids
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.train(docs)
+    got = {r.doc_id: r for r in op9_language_centroids(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        # slow counts lower whole texts; bytes of other letters are letters as they are
+        counts = slow_counts(r.text) if len(r.text) < 3000 else language.ngram_counts(texts_of(pa.array([r.text])))[0]
+        v = np.log1p(counts) * model.idf
+        if not v.any():
+            assert got[r.doc_id].nearest is None
+            continue
+        cos = model.vectors @ (v / np.linalg.norm(v))
+        best = cos.argmax()
+        assert got[r.doc_id].cosine == pytest.approx(cos[best], abs=1e-4)
+        assert got[r.doc_id].nearest == model.languages[model.owner[best]]
+        assert got[r.doc_id].language == (got[r.doc_id].nearest if got[r.doc_id].cosine >= model.limit[best] else None)
+
+
+def test_a_rare_language_has_centroids(spark):
+    rows = [(i, f"the quick words go over hill number {i}", "en") for i in range(3000)] + [(9000, "der hund und die katze", "de"), (9001, None, "fr"), (9002, " ", "es")]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=50)
+    assert model.languages == ["de", "en"]
+
+
 ROWS = [
     (1, "the cat and the dog went over the hill", "en"),
     (1, "the cat and the dog went over the hill", "en"),

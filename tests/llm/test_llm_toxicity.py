@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexgrove.llm import toxicity
+from lexgrove.llm.linefeatures import labelled_lines
+from lexgrove.llm.shared import bounded
 from lexgrove.llm.textbuf import texts_of
 
 SF = "/root/testdata/sf0.01"
@@ -37,7 +39,7 @@ def test_fit_is_at_a_minimum_of_the_likelihood():
     x = g.normal(size=(n, width))
     y = np.searchsorted([-0.5, 0.8], x[:, 0] + g.logistic(size=n))
     row, col = np.repeat(np.arange(n), width), np.tile(np.arange(width), n)
-    m = toxicity.fit(row, col, x.reshape(-1), y, width, 3, steps=3000, rate=0.02)
+    m = toxicity.fit(row, col, x.reshape(-1), y, width, 3, steps=3000)
 
     def loss(w, cut):
         p = np.array([probabilities(toxicity.Ordinal(w, cut), v @ w)[k] for v, k in zip(x, y, strict=True)])
@@ -59,12 +61,70 @@ def test_fit_is_at_a_minimum_of_the_likelihood():
 def test_likelihood_ratio():
     toxic = np.array([True] * 10 + [False] * 30)
     row, col = np.array([*range(10), *range(40)]), np.array([0] * 10 + [1] * 40)
-    g, seen = toxicity.likelihood_ratio(row, col, toxic, 3)
-    assert seen.tolist() == [10, 40, 0]
+    g = toxicity.likelihood_ratio(row, col, toxic, 3)
     assert g[0] == pytest.approx(2 * (10 * np.log(4) + 30 * np.log(4 / 3)))
     assert g[1:] == pytest.approx([0, 0])
 
 
+@pytest.mark.parametrize("n", [1, 2, 4, 5])
+def test_a_few_toxic_rows_teach_their_word(spark, n):
+    """As few as one toxic row among 200 clean ones."""
+    g = np.random.default_rng(n)
+    common = [f"word{i}" for i in range(60)]
+    rows = [(i, " ".join(g.choice(common, 20)) + (" grobnak" if i < n else "")) for i in range(200 + n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    m = toxicity.train(docs, spark.createDataFrame([(i, int(i < n)) for i in range(200 + n)], "doc_id long, toxic int"))
+    probe = spark.createDataFrame([(1, "word1 word2 grobnak word3"), (2, "word1 word2 word3"), (3, "Grobnak!")], "doc_id long, text string")
+    p = {r.doc_id: r.p_toxic for r in toxicity.score(probe, m).collect()}
+    assert p[1] > (5 if n > 1 else 1) * p[2] and p[3] > p[2]
+    assert n < 4 or p[3] > 0.5
+    word = toxicity.features(texts_of(pa.array(["grobnak"])))[1][0]
+    assert m.weight.argmax() == word
+
+
+def test_minimise_finds_the_minimum_of_a_narrow_valley():
+    def f(x):
+        return float((1 - x[0]) ** 2 + 100 * (x[1] - x[0] ** 2) ** 2), np.array([-2 * (1 - x[0]) - 400 * x[0] * (x[1] - x[0] ** 2), 200 * (x[1] - x[0] ** 2)])
+
+    assert np.allclose(toxicity.minimise(f, np.array([-1.2, 1.0]), 200), 1, atol=1e-4)
+
+
+def test_the_sample_bound_holds_for_rows_that_share_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)], "doc_id long, text string")
+    assert bounded(docs, 20, 3).count() == 20
+    assert len(labelled_lines(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), 7, 3)) == 7
+
+
+def test_ties_take_the_lower_grade_and_a_threshold_that_is_met_is_toxic(spark):
+    m = toxicity.Ordinal(np.zeros(1 << toxicity.BITS), np.array([0.0]))
+    r = toxicity.score(spark.createDataFrame([(1, "any words")], "doc_id long, text string"), m).first()
+    assert (r.severity, r.p_toxic, r.toxic) == (0, 0.5, True)
+
+
+def test_query_against_one_document_at_a_time(spark):
+    """All documents of a table, the longest ones too, against plain counting of words."""
+    from lexgrove.llm.queries import op2_toxicity_ordinal
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    m = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: r for r in op2_toxicity_ordinal(spark, sf).collect()}
+    edge = {chr(c) for c in np.flatnonzero(toxicity.EDGE)}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    bucket = {}
+    for r in rows:
+        words = "".join(" " if c in edge else c.lower() for c in r.text).split()
+        for w in set(words) - set(bucket):
+            bucket[w] = int(toxicity.features(texts_of(pa.array([w])))[1][0])
+        counts = {}
+        for w in words:
+            counts[bucket[w]] = counts.get(bucket[w], 0) + 1
+        p = probabilities(m, sum(np.log1p(c) * m.weight[b] for b, c in counts.items()))
+        assert got[r.doc_id].severity == p.argmax() and got[r.doc_id].toxic == (1 - p[0] >= 0.5)
+        assert got[r.doc_id].expected_severity == pytest.approx((p * np.arange(4)).sum(), abs=1e-6)
+
+
 def test_features_are_word_counts():
     row, col, val = toxicity.features(texts_of(pa.array(["Bad, bad word", None, "", "word!"])))
     assert row.tolist() == [0, 0, 3]
