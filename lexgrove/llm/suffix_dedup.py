@@ -162,7 +162,7 @@ def merge(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndar
 
 
 class _Shard:
-    """The file of a shard: number of documents, (doc_id, text hash, first token) of each, and 32 bits of the hash of each word."""
+    """The file of a shard: number of documents, (doc_id, text hash, first token) of each, and 16 bits of the hash of each word."""
 
     def __init__(self, path: str):
         fs, at = filesystem(path)
@@ -173,7 +173,7 @@ class _Shard:
         return np.frombuffer(self.file.read_at(24 * self.n, 8), np.int64).reshape(3, self.n)
 
     def words(self, begin: int, end: int) -> np.ndarray:
-        return np.frombuffer(self.file.read_at(4 * (end - begin), 8 + 24 * self.n + 4 * begin), np.uint32)
+        return np.frombuffer(self.file.read_at(2 * (end - begin), 8 + 24 * self.n + 2 * begin), np.uint16)
 
     @staticmethod
     def write(path: str, doc: np.ndarray, text: np.ndarray, start: np.ndarray, tokens: np.ndarray) -> None:
@@ -181,7 +181,7 @@ class _Shard:
         fs.create_dir(at.rpartition("/")[0], recursive=True)
         with fs.open_output_stream(at, compression=None) as out:
             out.write(np.concatenate([[len(doc)], doc, text, start]).astype(np.int64).tobytes())
-            out.write((tokens >> U64(32)).astype(np.uint32).tobytes())
+            out.write((tokens >> U64(48)).astype(np.uint16).tobytes())
 
 
 def equal_windows(own: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
@@ -313,7 +313,8 @@ def repeats(docs: DataFrame, **how) -> DataFrame:
     document of a passage has no row for it. Repeats inside one document are left alone, and rows that share a
     doc_id never repeat one another; each has its own stretches. Null ids, and null, empty or shorter texts, give no row. A text of any length
     is in one shard. Columns other than doc_id and text are ignored, whatever their names. An empty table gives no row.
-    Windows are compared word by word (32 bits of the hash of each word), within a shard and across shards.
+    Windows are compared word by word: within a shard by all 64 bits of the hash of each word, across shards, among windows whose own 64-bit
+    hashes agree, by 16 bits of it.
     """
     return stretches(docs, **how).drop("text_hash")
 
