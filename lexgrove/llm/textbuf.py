@@ -103,7 +103,7 @@ def texts_of(col: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(raw, off - off[0], valid)
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Consecutive slices of a batch with about `most` bytes of text each; a longer text is a slice of its own."""
     at = batch.schema.get_field_index(column)
     whole = texts_of(batch.column(at))
