@@ -53,25 +53,59 @@ def test_the_training_query_covers_the_documents_at_the_defaults(spark, tmp_path
     assert {len(v) for v in got.values()} == {50}
 
 
-def test_an_epoch_moves_by_capped_sums_over_all_blocks(spark, monkeypatch):
-    """One synchronous step without negatives, against a plain loop."""
-    monkeypatch.setattr(embeddings, "BLOCK", 1)
-    words = [["a", "b"] * 60, ["b", "c", "a", "d"]]
-    d = spark.createDataFrame(list(enumerate(words)), "doc_id long, words array<string>")
-    vocab = spark.createDataFrame([(i, w) for i, w in enumerate("abcd")], "idx long, word string")
-    old = {r.word: (np.array(r.input), np.array(r.output)) for r in embeddings.initial(vocab, 6, 3).collect()}
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_an_epoch_is_one_update_for_each_pair_in_some_order(spark, monkeypatch, blocks):
+    """With minibatches of one pair, against a plain loop over the same pairs, cell by cell."""
     monkeypatch.setattr(embeddings, "negatives", lambda *_: F.array().cast("array<bigint>"))
-    new = {r.word: (np.array(r.input), np.array(r.output)) for r in embeddings.train(d, dim=6, window=1, epochs=1, rate=0.1, seed=3).collect()}
-    sums = {(w, s): [0, np.zeros(6)] for w in "abcd" for s in (0, 1)}
-    for doc in words:
-        for i, w in enumerate(doc):
-            for c in [*doc[max(i - 1, 0) : i], *doc[i + 1 : i + 2]]:
-                if c != w:
-                    g = 1 / (1 + np.exp(-old[w][0] @ old[c][1])) - 1
-                    for at, grad in (((w, 0), g * old[c][1]), ((c, 1), g * old[w][0])):
-                        sums[at] = [sums[at][0] + 1, sums[at][1] + grad]
-    for (w, s), (n, g) in sums.items():
-        assert np.allclose(new[w][s], old[w][s] - min(0.5 / n, 0.1) * g)
+    words = [["a", "b"] * 10, ["b", "c", "a", "d"]]
+    d = spark.createDataFrame(list(enumerate(words)), "doc_id long, words array<string>").coalesce(1)
+    vocab = spark.createDataFrame([(i, w) for i, w in enumerate("abcd")], "idx long, word string")
+    start = embeddings.initial(vocab, 6, 3).orderBy("idx").collect()
+    x, y = np.array([r.input for r in start]), np.array([r.output for r in start])
+    rate = 3.0  # so high that a minibatch is one pair
+    new = embeddings.train(d, dim=6, window=1, epochs=1, rate=rate, seed=3, blocks=blocks).orderBy("idx").collect()
+    seq = [("abcd".index(doc[i]), "abcd".index(doc[j])) for doc in words for i in range(len(doc)) for j in (i - 1, i + 1) if 0 <= j < len(doc) and doc[i] != doc[j]]
+    # the rows of a partition may come in any order of documents; both orders are tried
+    def run(pairs):
+        a, b = x.copy(), y.copy()
+        for r in range(blocks):
+            for c, t in pairs:
+                if (t - c) % blocks == r:
+                    g = 1 / (1 + np.exp(-a[c] @ b[t])) - 1
+                    a[c], b[t] = a[c] - rate * g * b[t], b[t] - rate * g * a[c]
+        return np.hstack([a, b])
+
+    got = np.hstack([[r.input for r in new], [r.output for r in new]])
+    first = 38  # pairs of the first document
+    assert any(np.allclose(got, run(p), atol=1e-8) for p in (seq, seq[first:] + seq[:first]))
+
+
+def test_minibatches_sum_their_gradients():
+    g = np.random.default_rng(1)
+    x, y = g.normal(size=(5, 3)), g.normal(size=(4, 3))
+    c, t, label = g.integers(0, 5, 30), g.integers(0, 4, 30), g.integers(0, 2, 30)
+    a, b = x.copy(), y.copy()
+    embeddings.descend(a, b, c, t, label, 0.01)  # one minibatch holds all 30
+    want_a, want_b = x.copy(), y.copy()
+    for i, j, l in zip(c, t, label, strict=True):
+        d = 0.01 * (1 / (1 + np.exp(-x[i] @ y[j])) - l)
+        want_a[i] -= d * y[j]
+        want_b[j] -= d * x[i]
+    assert np.allclose(a, want_a) and np.allclose(b, want_b)
+
+
+def test_many_epochs_leave_the_plan_small(spark):
+    """Size estimates must not grow from epoch to epoch."""
+    d = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["c", "d"]) for i in range(6)], "doc_id long, words array<string>")
+    m = embeddings.train(d, dim=4, window=1, negative=1, epochs=60, rate=0.1)
+    assert m.count() == 4
+    assert len(str(m._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 40
+
+
+def test_rows_that_share_a_key_are_rows_of_their_own(spark):
+    d = spark.createDataFrame([(1, ["a", "b"]), (1, ["a", "b"]), (1, []), (2, None)], "doc_id long, words array<string>")
+    vocab = spark.createDataFrame([(0, "a"), (1, "b")], "idx long, word string")
+    assert sorted(r.words for r in embeddings.numbered(d, vocab, "doc_id").collect()) == [[0, 1], [0, 1]]
 
 
 def test_negatives_have_neither_the_positive_nor_repeats(spark):
