@@ -8,10 +8,9 @@ loops of frontier joins whose lineage ends in reliable checkpoints, so that a lo
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexgrove.session import cut
+from lexgrove.session import cut, fresh, ranked
 
 NODES, EDGES = "id bigint, data string", "seq bigint, src bigint, dst bigint, weight double"
 
@@ -72,46 +71,57 @@ def remove_edge(edges: DataFrame, src: int, dst: int) -> tuple[DataFrame, DataFr
     """(edges, lookup) after removal: the list loses the pair's first edge alone, the matrix the whole pair."""
     pair = (F.col("src") == src) & (F.col("dst") == dst)
     first = edges.where(pair).agg(F.min("seq").alias("__first"))
-    left = edges.join(F.broadcast(first), F.col("seq") == F.col("__first"), "left_anti")
+    left = edges.join(F.broadcast(first), pair & (F.col("seq") == F.col("__first")), "left_anti")
     return left, lookup(edges.where(~pair))
 
 
+class _Rounds:
+    """What the rounds of a search found, each appended to a folder once: a round reads what there is, but rewrites nothing."""
+
+    def __init__(self, first: DataFrame):
+        self.spark, self.schema, self.path, self.n = first.sparkSession, first.schema, fresh(first.sparkSession, "search"), 0
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        at = f"{self.path}/round={self.n}"
+        rows.write.parquet(at)
+        self.n += 1
+        return self.spark.read.schema(self.schema).parquet(at)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/round={i}" for i in range(self.n)])
+
+
 def bfs_levels(edges: DataFrame, start: int) -> DataFrame:
     """(node, level): fewest edges from start, of every node that can be reached. Each step joins the newest level alone."""
-    spark = edges.sparkSession
     links = cut(edges.select("src", "dst").distinct())
-    seen = spark.range(start, start + 1).select(F.col("id").alias("node"), F.lit(0).alias("level"))
-    frontier, level = seen, 0
+    frontier = edges.sparkSession.range(start, start + 1).select(F.col("id").alias("node"), F.lit(0).alias("level"))
+    rounds = _Rounds(frontier)
     while True:
-        level += 1
         step = frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen, "node", "left_anti").withColumn("level", F.lit(level)))
+        frontier = rounds.add(step.join(rounds.all(), "node", "left_anti").select("node", F.lit(rounds.n).alias("level")))
         if frontier.isEmpty():
-            return seen
-        seen = cut(seen.union(frontier))
+            return rounds.all()
 
 
 def bfs_order(edges: DataFrame, start: int, by: str = "dst") -> DataFrame:
     """(node, rank): the order in which a queue visits nodes; by='dst' takes neighbours in ascending order, by='seq' as inserted.
 
-    A level is ranked by (rank of the first parent, neighbour order). Ranks of one level pass through one task.
+    A level is ranked by (rank of the first parent, neighbour order), by ranges: no task has a whole level.
     """
     if by not in ("dst", "seq"):
         raise ValueError("by is 'dst' or 'seq'")
-    spark = edges.sparkSession
     links = cut(edges.groupBy("src", "dst").agg(F.min("seq" if by == "seq" else "dst").alias("o")))
-    seen = spark.range(start, start + 1).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("rank"))
-    frontier, known = seen, 1
+    frontier, known = edges.sparkSession.range(start, start + 1).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("rank")), 1
+    rounds = _Rounds(frontier)
     while True:
         step = frontier.join(links, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("rank", "o")).alias("k"))
-        new = step.join(seen, "node", "left_anti")
-        rank = F.row_number().over(W.orderBy("k", "node")) - 1 + known
-        frontier = cut(new.select("node", rank.cast("long").alias("rank")))
+        new = step.join(rounds.all().select("node"), "node", "left_anti")
+        frontier = rounds.add(ranked(new, ["k", "node"], "rank", known).select("node", "rank"))
         n = frontier.count()
         if not n:
-            return seen
+            return rounds.all()
         known += n
-        seen = cut(seen.union(frontier))
 
 
 def reachable(edges: DataFrame, start: int) -> DataFrame:
@@ -130,36 +140,54 @@ def strongly_connected(edges: DataFrame, start: int) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, start: int, nodes: DataFrame | None = None) -> DataFrame:
-    """(node, distance, path): least total weight from start, of equal ones the path that sorts first; without start itself.
+    """(node, distance, hops, previous): least total weight from start, of equal ones the fewest edges, and the node before, of several the
+    smallest; without start itself. `paths` follows them back.
 
     Rounds of relaxation over all edges, parallel ones too, from the nodes that got nearer, until none does. With `nodes`
     only edges between registered ones count. A negative weight is an error.
     """
-    spark = edges.sparkSession
     if nodes is not None:
         for end in ("src", "dst"):
             edges = edges.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
     links = cut(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
     if not links.where("weight < 0 or weight is null").isEmpty():
         raise ValueError("weights must not be negative or null")
-    best = spark.range(start, start + 1).select(F.col("id").alias("node"), F.lit(0.0).alias("distance"), F.array("id").alias("path"))
-    frontier = best
+    best = F.min(F.struct("distance", "hops")).alias("b")
+    frontier = edges.sparkSession.range(start, start + 1).select(F.col("id").alias("node"), F.lit(0.0).alias("distance"), F.lit(0).alias("hops"))
+    rounds = _Rounds(frontier)
     while True:
         step = frontier.join(links, F.col("node") == F.col("src")).select(
-            F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), F.concat("path", F.array("dst")).alias("path")
+            F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), (F.col("hops") + 1).alias("hops")
         )
-        step = step.groupBy("node").agg(F.min(F.struct("distance", "path")).alias("b")).select("node", "b.distance", "b.path")
-        old = best.select("node", F.col("distance").alias("d"), F.col("path").alias("p"))
-        nearer = step.join(old, "node", "left").where("d is null or struct(distance, path) < struct(d, p)")
-        frontier = cut(nearer.select("node", "distance", "path"))
+        step = step.groupBy("node").agg(best).select("node", "b.distance", "b.hops")
+        old = rounds.all().groupBy("node").agg(best).select("node", F.col("b.distance").alias("d"), F.col("b.hops").alias("h"))
+        nearer = step.join(old, "node", "left").where("d is null or struct(distance, hops) < struct(d, h)")
+        frontier = rounds.add(nearer.select("node", "distance", "hops"))
         if frontier.isEmpty():
-            return best.where(F.col("node") != start)
-        best = cut(best.join(frontier, "node", "left_anti").union(frontier))
+            break
+    final = cut(rounds.all().groupBy("node").agg(best).select("node", "b.distance", "b.hops"))
+    ends = final.join(links, F.col("node") == F.col("src")).select(
+        F.col("node").alias("previous"), F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), (F.col("hops") + 1).alias("hops")
+    )
+    found = final.join(ends, ["node", "distance", "hops"]).groupBy("node", "distance", "hops").agg(F.min("previous").alias("previous"))
+    return found.where(F.col("node") != start)
+
+
+def paths(found: DataFrame, start: int) -> DataFrame:
+    """(node, distance, path) of shortest_paths(): each path is made once, from that of the node before, in order of hops."""
+    found = cut(found)
+    last = found.sparkSession.range(start, start + 1).select(F.col("id").alias("node"), F.lit(0.0).alias("distance"), F.array("id").alias("path"))
+    rounds = _Rounds(last)
+    for hops in range(1, (found.agg(F.max("hops")).first()[0] or 0) + 1):
+        before = last.select(F.col("node").alias("previous"), "path")
+        step = found.where(F.col("hops") == hops).join(before, "previous")
+        last = rounds.add(step.select("node", "distance", F.concat("path", F.array("node")).alias("path")))
+    return rounds.all().where(F.col("node") != start)
 
 
 def shortest_path(edges: DataFrame, start: int, end: int, nodes: DataFrame | None = None) -> tuple[list[int], float] | None:
     """(path, distance), or None if there is none or start is end."""
     if start == end:
         return None
-    row = shortest_paths(edges, start, nodes).where(F.col("node") == end).first()
+    row = paths(shortest_paths(edges, start, nodes), start).where(F.col("node") == end).first()
     return (list(row["path"]), row["distance"]) if row else None

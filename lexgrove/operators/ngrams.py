@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrove.functions import text as T
@@ -29,38 +33,66 @@ def counts_by_period(docs: DataFrame, n: int, period: str, order: str, mode: str
     found = grams.groupBy("period", "ngram").agg(F.count("ngram").alias("cnt"))
     if mode == "last":
         return found
-    some = F.max(F.col("cnt") > 0).over(W.partitionBy("period"))
-    return found.withColumn("some", some).where("cnt > 0 or not some").drop("some")
+    # sums by period before the shuffle: a window would bring all n-grams of a period together
+    none = found.groupBy("period").agg(F.max("cnt").alias("cnt")).where("cnt = 0").select("period", F.lit(None).cast("string").alias("ngram"), "cnt")
+    return found.where("cnt > 0").unionByName(none)
 
 
 def shares(table: DataFrame, key: str = "period") -> DataFrame:
-    """(key, ngram, p): count by the key's total."""
-    total = F.sum("cnt").over(W.partitionBy(key))
-    return table.where("cnt > 0").select(key, "ngram", (F.col("cnt") / total).alias("p"))
+    """(key, ngram, p): count by the key's total.
+
+    Totals are added up before the shuffle and joined, so that no task needs all n-grams of a key; the counts are one exchange that both use."""
+    some = table.where("cnt > 0").select(key, "ngram", "cnt")
+    total = some.groupBy(key).agg(F.sum("cnt").alias("total"))
+    return some.join(total, key).select(key, "ngram", (F.col("cnt") / F.col("total")).alias("p"))
 
 
-def _pair_count(i: Column, j: Column, length: Column, n: int) -> Column:
-    """How many windows of n words have positions i < j."""
-    return F.least(i, length - n) - F.greatest(F.lit(0), j - n + 1) + 1
+def _edges(w: pa.Array, n: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, src, dst, weight) of lists of words, at most about `most` words at once; a longer text is by itself."""
+    size = pc.list_value_length(w).to_numpy(zero_copy_only=False).astype(np.int64)
+    edge = np.concatenate([[0], np.cumsum(size)])
+    i = 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(edge, edge[i] + most, side="right")) - 1)
+        codes = np.asarray(pc.list_flatten(w.slice(i, j - i)).dictionary_encode().indices, np.int64)
+        length = np.repeat(size[i:j], size[i:j])
+        row = np.repeat(np.arange(i, j), size[i:j])
+        pos = np.arange(len(codes)) - np.repeat(edge[i:j] - edge[i], size[i:j])
+        order = np.lexsort((pos, codes, row))
+        last = np.flatnonzero(np.append((codes[order][1:] != codes[order][:-1]) | (row[order][1:] != row[order][:-1]), True)) if len(codes) else np.zeros(0, np.int64)
+        node = np.empty(len(codes), np.int64)
+        node[order] = np.repeat(pos[order][last], np.diff(np.concatenate([[-1], last])))
+        parts = []
+        for d in range(1, n):
+            at = np.flatnonzero(pos + d < length)
+            x = pos[at]
+            weight = np.minimum(x, length[at] - n) - np.maximum(0, x + d - n + 1) + 1  # windows of n words that have both positions
+            at, weight = at[weight > 0], weight[weight > 0]
+            parts.append((row[at], node[at], node[at + d], weight))
+        if parts:
+            r, src, dst, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((dst, src, r))
+            r, src, dst, weight = r[order], src[order], dst[order], weight[order]
+            first = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (src[1:] != src[:-1]) | (dst[1:] != dst[:-1]))) if len(r) else np.zeros(0, np.int64)
+            if len(first):
+                yield r[first], src[first], dst[first], np.add.reduceat(weight, first)
+        i = j
 
 
 def cooccurrence(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     """(key, src, dst, weight): directed edges from earlier to later words of a window of n words.
 
     A word's node is the last position it has in its text; a pair counts once for each window that has it, and a
-    word that occurs twice in a window has a loop. Texts of fewer than n words have no edge. Pairs are made inside a row, without
-    a range join; weights come from a closed form instead of listing windows.
+    word that occurs twice in a window has a loop. Texts of fewer than n words have no edge. Each row is a text of its own, so all its
+    edges are made and added up where it is read, without a shuffle; weights come from a closed form instead of listing windows.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
     rows = docs.select(key, T.tokens("text").alias("w")).where(F.size("w") >= n)
-    words = rows.select(key, F.size("w").cast("long").alias("len"), F.posexplode(F.transform("w", lambda x, i: F.struct(x.alias("a"), F.slice("w", i + 2, n - 1).alias("rest")))).alias("i", "s"))
-    node = words.groupBy(key, F.col("s.a").alias("a")).agg(F.max("i").cast("long").alias("node"))
-    pairs = words.select(key, "len", F.col("i").cast("long").alias("i"), F.col("s.a").alias("a"), F.posexplode("s.rest").alias("d", "b"))
-    weight = _pair_count(F.col("i"), F.col("i") + F.col("d") + 1, F.col("len"), n)
-    sums = pairs.withColumn("weight", weight).where("weight > 0").groupBy(key, "a", "b").agg(F.sum("weight").cast("double").alias("weight"))
-    return (
-        sums.join(node.withColumnRenamed("node", "src"), [key, "a"])
-        .join(node.select(key, F.col("a").alias("b"), F.col("node").alias("dst")), [key, "b"])
-        .select(key, "src", "dst", "weight")
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, src, dst, weight in _edges(batch.column(1), n):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(src), pa.array(dst), pa.array(weight.astype(float))], names=[key, "src", "dst", "weight"])
+
+    return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, src long, dst long, weight double")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexgrove.session import cut
+
 
 def describe(series: DataFrame, by: str, x: str = "x") -> DataFrame:
     """(by, mean, variance, std_dev, median, range): population variance, exact median; nulls for a group without values."""
@@ -57,40 +59,42 @@ def mode(dist: DataFrame, by: str) -> DataFrame:
     return dist.groupBy(by).agg(best.alias("b")).select(by, "b.ngram", "b.p")
 
 
-def _pairs(dist: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
-    return (
-        dist.select(F.col(by).alias("p_key"), "ngram", F.col("p")),
-        dist.select(F.col(by).alias("q_key"), "ngram", F.col("p").alias("q")),
-    )
+def _pairs(dist: DataFrame, by: str) -> DataFrame:
+    """(p_key, q_key, p, q) of the n-grams that two distributions share: one shuffle by n-gram, pairs are made in its row."""
+    of = dist.groupBy("ngram").agg(F.collect_list(F.struct(F.col(by).alias("k"), "p")).alias("of"))
+    one = of.select("of", F.explode("of").alias("x"))
+    return one.select(F.col("x.k").alias("p_key"), F.col("x.p").alias("p"), F.explode("of").alias("y")).select("p_key", F.col("y.k").alias("q_key"), "p", F.col("y.p").alias("q"))
+
+
+def _every(part: DataFrame) -> DataFrame:
+    """part(p_key, q_key, ..) with rows for pairs that share nothing; every key shares its n-grams with itself."""
+    keys = part.where("p_key = q_key").select("p_key")
+    return keys.crossJoin(keys.select(F.col("p_key").alias("q_key"))).join(part, ["p_key", "q_key"], "left")
 
 
 def kl_divergence(dist: DataFrame, by: str) -> DataFrame:
-    """(p_key, q_key, kl) of all ordered pairs of distributions: n-grams that both have; 0 if none."""
-    p, q = _pairs(dist, by)
-    keys = dist.select(F.col(by).alias("p_key")).distinct()
-    every = keys.crossJoin(keys.withColumnRenamed("p_key", "q_key"))
-    part = p.join(q, "ngram").groupBy("p_key", "q_key").agg(F.sum(F.col("p") * F.log2(F.col("p") / F.col("q"))).alias("kl"))
-    return every.join(part, ["p_key", "q_key"], "left").select("p_key", "q_key", F.coalesce("kl", F.lit(0.0)).alias("kl"))
+    """(p_key, q_key, kl) of all ordered pairs of distributions: n-grams that both have; 0 if none. The table of pairs is small and made at once."""
+    part = cut(_pairs(dist, by).groupBy("p_key", "q_key").agg(F.sum(F.col("p") * F.log2(F.col("p") / F.col("q"))).alias("kl")))
+    return _every(part).select("p_key", "q_key", F.coalesce("kl", F.lit(0.0)).alias("kl"))
 
 
 def js_divergence(dist: DataFrame, by: str, symmetric: bool = False) -> DataFrame:
     """(p_key, q_key, js) of all ordered pairs.
 
     The mixture has the n-grams of P alone, so the measure isn't symmetric and disjoint distributions give 0.5; with
-    `symmetric` it has those of both. Only n-grams that P and Q share need a join: with s the mass of P on them, the rest of P
+    `symmetric` it has those of both. Only n-grams that P and Q share need to meet: with s the mass of P on them, the rest of P
     adds half of 1 - s (p against p/2 is one bit), and the same holds for Q in the symmetric form.
     """
-    p, q = _pairs(dist, by)
-    keys = dist.select(F.col(by).alias("p_key")).distinct()
-    every = keys.crossJoin(keys.withColumnRenamed("p_key", "q_key"))
     m = (F.col("p") + F.col("q")) / 2
-    shared = p.join(q, "ngram").groupBy("p_key", "q_key").agg(
-        F.sum(F.col("p") * F.log2(F.col("p") / m)).alias("a"), F.sum(F.col("q") * F.log2(F.col("q") / m)).alias("b"), F.sum("p").alias("sp"), F.sum("q").alias("sq")
+    shared = cut(
+        _pairs(dist, by)
+        .groupBy("p_key", "q_key")
+        .agg(F.sum(F.col("p") * F.log2(F.col("p") / m)).alias("a"), F.sum(F.col("q") * F.log2(F.col("q") / m)).alias("b"), F.sum("p").alias("sp"), F.sum("q").alias("sq"))
     )
     zero = F.lit(0.0)
     left = F.coalesce("a", zero) + (1 - F.coalesce("sp", zero))
     right = F.coalesce("b", zero) + ((1 - F.coalesce("sq", zero)) if symmetric else zero)
-    return every.join(shared, ["p_key", "q_key"], "left").select("p_key", "q_key", ((left + right) / 2).alias("js"))
+    return _every(shared).select("p_key", "q_key", ((left + right) / 2).alias("js"))
 
 
 def analyze(table: DataFrame, by: str) -> DataFrame:

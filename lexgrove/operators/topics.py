@@ -30,24 +30,30 @@ def bag_maps(bags: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def document_frequency(bags: DataFrame) -> DataFrame:
-    """(token, df) of (key, token, cnt)."""
-    return bags.groupBy("token").agg(F.count("*").alias("df"))
+    """(token, df) of (key, token, cnt). It reads cnt, so that a plan that also uses bags makes them once."""
+    return bags.groupBy("token").agg(F.count(F.when(F.col("cnt") > 0, 1)).alias("df"))
 
 
-def tfidf(bags: DataFrame, n_docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, token, tfidf): count / length times ln(N / df), unsmoothed; n_docs is one row (n), empty documents included.
+def weighted(bags: DataFrame, n_docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, token, cnt, tfidf): as tfidf, with the counts.
 
-    The length is a window over the key, the frequency a join by token: neither side is broadcast by force.
+    The length is a window over the key, the frequency a join by token: neither side is broadcast by force, and a token that
+    nearly all documents have is a skewed key of that join, which adaptive execution splits.
     """
     length = F.sum("cnt").over(W.partitionBy(key))
     return (
         bags.withColumn("tf", F.col("cnt") / length)
         .join(document_frequency(bags), "token")
         .crossJoin(n_docs)
-        .select(key, "token", (F.col("tf") * F.ln(F.col("n") / F.col("df"))).alias("tfidf"))
+        .select(key, "token", "cnt", (F.col("tf") * F.ln(F.col("n") / F.col("df"))).alias("tfidf"))
     )
 
 
+def tfidf(bags: DataFrame, n_docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, token, tfidf): count / length times ln(N / df), unsmoothed; n_docs is one row (n), empty documents included."""
+    return weighted(bags, n_docs, key).drop("cnt")
+
+
 def tfidf_self(bags: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, token, tfidf): each token of a document as a document of its own: ln(length / count)."""
     length = F.sum("cnt").over(W.partitionBy(key))
@@ -90,15 +96,23 @@ def update(assigned: DataFrame, dims: int) -> DataFrame:
     return assigned.groupBy("cluster").agg(F.array(*sums).alias("c"), F.count("*").alias("size"))
 
 
+def align(vectors: DataFrame) -> DataFrame:
+    """Vectors v as long as the longest, the rest 0: distances and products are those over the shorter length."""
+    longest = vectors.agg(F.coalesce(F.max(F.size("v")), F.lit(0)).alias("__n"))
+    zeros = F.array_repeat(F.lit(0.0), F.col("__n") - F.size("v"))
+    return vectors.crossJoin(longest).withColumn("v", F.concat(F.col("v").cast("array<double>"), zeros)).drop("__n")
+
+
 def kmeans(
     vectors: DataFrame, k: int = 3, initial: np.ndarray | None = None, seed: int = 0, max_iter: int = 100, tol: float = 1e-4, key: str = "vec_id"
 ) -> tuple[DataFrame, np.ndarray]:
-    """Lloyd's algorithm: ((key, cluster) of every row with a vector, centroids).
+    """Lloyd's algorithm: ((key, cluster) of every row with a vector, centroids). A vector with a null, infinite or NaN entry has none. Vectors
+    of different lengths are an error: `align` makes them equally long.
 
     Starts are k rows by a hash of the key (fewer if there are fewer). A centroid without rows stays; it ends when no
     coordinate moves by tol. Each round is one pass in which a partition sends only k sums, so what the driver gets depends on k alone.
     """
-    src = vectors.select(key, F.col("v").cast("array<double>").alias("v")).where("v is not null")
+    src = vectors.select(key, F.col("v").cast("array<double>").alias("v")).where("v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
     if initial is None:
         rows = src.orderBy(F.xxhash64(F.lit(seed), key), key).limit(k).collect()
         initial = np.array([r["v"] for r in rows], float)
@@ -107,7 +121,10 @@ def kmeans(
         return src.select(key, F.lit(0).alias("cluster")), c
 
     def near(batch: pa.RecordBatch, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        v = np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, -1)
+        v = np.asarray(batch.column(1).flatten(), float)
+        if len(v) != batch.num_rows * c.shape[1]:
+            raise ValueError(f"vectors must have {c.shape[1]} entries each")
+        v = v.reshape(batch.num_rows, -1)
         return v, ((v * v).sum(axis=1)[:, None] - 2 * v @ c.T + (c * c).sum(axis=1)).argmin(axis=1)
 
     def sums(c: np.ndarray):
@@ -151,18 +168,23 @@ def kmeans(
     return src.mapInArrow(label, f"{key} {kind}, cluster int"), c
 
 
-def kmeans_terms(weights: DataFrame, k: int = 3, seed: int = 0, max_iter: int = 100, tol: float = 1e-4, key: str = "doc_id") -> DataFrame:
+def kmeans_terms(
+    weights: DataFrame, k: int = 3, seed: int = 0, max_iter: int = 100, tol: float = 1e-4, key: str = "doc_id", keys: DataFrame | None = None
+) -> DataFrame:
     """(key, cluster) of sparse vectors (key, token, tfidf): kmeans over one coordinate for each token, with the same starts and end.
 
     Centroids are rows (token, c) with a number for each cluster, joined by token, so that only k numbers get to the driver and
-    the width may grow with the vocabulary.
+    the width may grow with the vocabulary. Of `keys` (key), those without weights are zero vectors: they are nearest to the shortest
+    centroid and count in its mean, but none of them is a start.
     """
     spark = weights.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = cut(weights.select(key, "token", F.col("tfidf").alias("x")))
+    bare = None if keys is None else cut(keys.select(key).join(rows.select(key).distinct(), key, "left_anti"))
+    empty = bare.count() if bare is not None else 0
     starts = [r[0] for r in rows.select(key).distinct().orderBy(F.xxhash64(F.lit(seed), key), key).limit(k).collect()]
     if not starts:
-        return rows.select(key, F.lit(0).alias("cluster"))
+        return (rows if bare is None else bare).select(key, F.lit(0).alias("cluster"))
     each = range(len(starts))
     by_key, by_token = rows.repartition(parts, key).persist(), rows.repartition(parts, "token").persist()
 
@@ -182,6 +204,8 @@ def kmeans_terms(weights: DataFrame, k: int = 3, seed: int = 0, max_iter: int =
         for _ in range(max_iter):
             who = assigned(c, lengths)
             size = {r["cluster"]: r["count"] for r in who.groupBy("cluster").count().collect()}
+            if empty:
+                size[int(np.argmin(lengths))] = size.get(int(np.argmin(lengths)), 0) + empty
             sums = by_key.join(who.hint("shuffle_hash"), key).groupBy("token").agg(*[F.sum(F.when(F.col("cluster") == j, F.col("x")).otherwise(0.0)).alias(f"s{j}") for j in each])
             means = F.array(*[F.col(f"s{j}") / float(size[j]) if j in size else F.col("c")[j] for j in each])
             new = c.select("token", "c").join(sums.hint("shuffle_hash"), "token").select("token", means.alias("n"), F.col("c").alias("o"))
@@ -189,7 +213,8 @@ def kmeans_terms(weights: DataFrame, k: int = 3, seed: int = 0, max_iter: int =
             *lengths, moved = state(c)
             if moved < tol:
                 break
-        return assigned(c, lengths)
+        found = assigned(c, lengths)
+        return found.unionByName(bare.select(key, F.lit(int(np.argmin(lengths))).alias("cluster"))) if empty else found
     finally:
         by_key.unpersist()
         by_token.unpersist()

@@ -12,6 +12,7 @@ from lexgrove.functions import vector as V
 from lexgrove.operators import embeddings, graph, ngrams, sentiment, stats, topics
 from lexgrove.plans import topic_model
 from lexgrove.sources import sinks
+from lexgrove.session import cut, ranked
 from lexgrove.sources.text_files import default_stopwords
 from lexgrove.streaming.term_counts import windowed_ngrams
 
@@ -334,14 +335,35 @@ def kmeans_assign_step(spark, sf_dir):
 
 
 @_query(
-    f"""WITH {_CENT}, x AS (SELECT cluster, unnest(range(1, 65)) AS dim, v FROM a WHERE n = 1)
+    f"""WITH {_CENT}, x AS (SELECT cluster, unnest(range(1, len(v) + 1)) AS dim, v FROM a WHERE n = 1)
     SELECT cluster, CAST(dim - 1 AS INT) AS dim, round(avg(v[dim]), 6) AS value, count(*) AS size FROM x GROUP BY cluster, dim"""
 )
 def kmeans_update_step(spark, sf_dir):
-    c = topics.update(_assigned(spark, sf_dir), 64)
+    rows = cut(_assigned(spark, sf_dir))
+    c = topics.update(rows, rows.agg(F.max(F.size("v"))).first()[0])
     return c.select("cluster", "size", F.posexplode("c").alias("dim", "value")).select("cluster", "dim", _r(F.col("value")).alias("value"), "size")
 
 
+def _lloyd_sql(rounds: int) -> str:
+    """So many rounds from the first row of each label; rounds after the one that moves nothing change nothing."""
+    ctes = ["e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)", "c0 AS (SELECT label AS cluster, arg_min(v, vec_id) AS c FROM e GROUP BY label)"]
+    for i in range(rounds + 1):
+        d = f"SELECT vec_id, v, arg_min(cluster, struct_pack(d := list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), k := cluster)) AS cluster FROM e CROSS JOIN c{i} GROUP BY vec_id, v"
+        ctes.append(f"a{i} AS MATERIALIZED ({d})")
+        u = f"SELECT cluster, unnest(range(1, len(v) + 1)) AS dim, unnest(v) AS x FROM a{i}"
+        m = f"SELECT cluster, dim, avg(x) AS x FROM ({u}) GROUP BY cluster, dim"
+        ctes.append(f"m{i} AS MATERIALIZED (SELECT cluster, list(x ORDER BY dim) AS c FROM ({m}) GROUP BY cluster)")
+        ctes.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))")
+    return "WITH " + ", ".join(ctes) + f" SELECT vec_id, cluster FROM a{rounds}"
+
+
+@_query(_lloyd_sql(30))
+def kmeans_fit_from_starts(spark, sf_dir):
+    starts = _first_by_label(spark, sf_dir).orderBy("cluster").collect()
+    vectors = _t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return topics.kmeans(vectors, initial=[r["c"] for r in starts])[0]
+
+
 @_query()
 def kmeans_fit(spark, sf_dir):
     return topics.kmeans(_t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v")), k=10, seed=3)[0]
@@ -354,10 +376,23 @@ def topic_fit(spark, sf_dir):
 
 @_query()
 def cluster_json(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents")
-    assigned, clusters = topic_model.fit(docs)
-    members = assigned.groupBy("cluster").agg(F.sort_array(F.collect_list("doc_id")).alias("documents"))
-    return sinks.cluster_json(clusters.join(members, "cluster"))
+    return sinks.cluster_json(*reversed(topic_model.fit(_t(spark, sf_dir, "documents"))))
+
+
+@_query(
+    f"""WITH {_TOK}, c AS (SELECT source AS cluster, token, count(*) AS cnt FROM tok GROUP BY ALL),
+    r AS (SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY cnt DESC, token) AS rank, token FROM c),
+    t AS (SELECT cluster, list(token ORDER BY rank) AS topics FROM r WHERE rank <= 5 GROUP BY cluster),
+    d AS (SELECT source AS cluster, list(doc_id ORDER BY doc_id) AS documents, count(*) AS size FROM documents GROUP BY source)
+    SELECT cluster, 0 AS chunk, CAST(to_json(struct_pack(id := cluster, documents := documents, topics := topics, size := size)) AS VARCHAR) AS json FROM d LEFT JOIN t USING (cluster)"""
+)
+def cluster_json_by_source(spark, sf_dir):
+    """Sources as clusters; at scales where SQL is run each is one object."""
+    members = _t(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("cluster"))
+    top = cluster_top_terms(spark, sf_dir)
+    listed = top.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "token"))), lambda s: s["token"]).alias("topics"))
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
+    return sinks.cluster_json(sizes.join(listed, "cluster", "left"), members)
 
 
 # co-occurrence and graphs
@@ -376,8 +411,7 @@ def cooccurrence_edges(spark, sf_dir):
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Words of the benchmark passages as nodes, one edge for each pair of neighbours and passage; weight: their number in it."""
     rows = _t(spark, sf_dir, "benchmark").select("item_id", T.tokens("text").alias("w"))
-    word = rows.select(F.explode("w").alias("data")).distinct().agg(F.sort_array(F.collect_list("data")).alias("all"))
-    nodes = word.select(F.posexplode("all").alias("id", "data")).select(F.col("id").cast("long").alias("id"), "data")
+    nodes = ranked(rows.select(F.explode("w").alias("data")).distinct(), ["data"], "id").select("id", "data")
     pairs = ngrams.counts(_t(spark, sf_dir, "benchmark"), 2, "item_id").select("item_id", F.split("ngram", " ").alias("g"), "cnt")
     named = (
         pairs.select("item_id", F.col("g")[0].alias("a"), F.col("g")[1].alias("b"), F.col("cnt").cast("double").alias("weight"))
@@ -420,11 +454,26 @@ def graph_bfs_levels(spark, sf_dir):
     return graph.bfs_levels(_graph(spark, sf_dir)[1], 0)
 
 
-@_query()
+def _order_sql(key: str, rounds: int = 40) -> str:
+    """Ranks level by level: a node follows its first parent, in order of `key` among that parent's links."""
+    ctes = [f"WITH RECURSIVE {_GRAPH}", f"o AS (SELECT src, dst, min({key}) AS o FROM edges GROUP BY src, dst)", "l0 AS (SELECT CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS rank)", "s0 AS (SELECT * FROM l0)"]
+    for i in range(1, rounds):
+        k = f"SELECT dst AS node, min(struct_pack(r := rank, o := o)) AS k FROM l{i - 1} JOIN o ON src = node WHERE dst NOT IN (SELECT node FROM s{i - 1}) GROUP BY dst"
+        ctes.append(f"l{i} AS MATERIALIZED (SELECT node, (SELECT count(*) FROM s{i - 1}) + row_number() OVER (ORDER BY k, node) - 1 AS rank FROM ({k}))")
+        ctes.append(f"s{i} AS MATERIALIZED (SELECT * FROM s{i - 1} UNION ALL SELECT * FROM l{i})")
+    return ", ".join(ctes) + f" SELECT node, rank FROM s{rounds - 1}"
+
+
+@_query(_order_sql("dst"))
 def graph_bfs_order(spark, sf_dir):
     return graph.bfs_order(_graph(spark, sf_dir)[1], 0)
 
 
+@_query(_order_sql("seq"))
+def graph_bfs_order_as_inserted(spark, sf_dir):
+    return graph.bfs_order(_graph(spark, sf_dir)[1], 0, by="seq")
+
+
 @_query(f"{_BFS} SELECT node FROM f")
 def graph_reachable(spark, sf_dir):
     return graph.reachable(_graph(spark, sf_dir)[1], 0)
@@ -437,15 +486,46 @@ def graph_has_path(spark, sf_dir):
     return nodes.join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("y", F.lit(False)).alias("has_path"))
 
 
-@_query(
-    f"""WITH RECURSIVE {_GRAPH}, v(node, hops, d) AS (SELECT CAST(0 AS BIGINT), 0, CAST(0.0 AS DOUBLE)
-    UNION ALL SELECT dst, hops + 1, min(d + weight) FROM v JOIN edges ON src = node WHERE hops < 40 GROUP BY dst, hops)
-    SELECT node, min(d) AS distance FROM v WHERE node <> 0 GROUP BY node"""
-)
+def _paths_sql(edges: str = "edges") -> str:
+    return f"""WITH RECURSIVE {_GRAPH}, own AS (SELECT src, dst, min(weight) AS weight FROM {edges} GROUP BY src, dst), v(node, hops, d) AS (SELECT CAST(0 AS BIGINT), 0, CAST(0.0 AS DOUBLE)
+    UNION ALL SELECT dst, hops + 1, min(d + weight) FROM v JOIN own ON src = node WHERE hops < 40 GROUP BY dst, hops),
+    f AS (SELECT node, min(struct_pack(d := d, h := hops)) AS b FROM v GROUP BY node),
+    p AS (SELECT y.node, y.b.d AS distance, y.b.h AS hops, min(x.node) AS previous FROM f x JOIN own ON src = x.node JOIN f y ON y.node = dst
+        WHERE x.b.d + weight = y.b.d AND x.b.h + 1 = y.b.h AND y.node <> 0 GROUP BY ALL)"""
+
+
+@_query(_paths_sql() + " SELECT node, distance FROM p")
 def graph_shortest_path(spark, sf_dir):
     return graph.shortest_paths(_graph(spark, sf_dir)[1], 0).select("node", "distance")
 
 
+@_query(_paths_sql() + " SELECT node, distance, hops, previous FROM p")
+def graph_shortest_path_tree(spark, sf_dir):
+    return graph.shortest_paths(_graph(spark, sf_dir)[1], 0)
+
+
+@_query(
+    _paths_sql()
+    + """, way(node, distance, path) AS (SELECT CAST(0 AS BIGINT), CAST(0.0 AS DOUBLE), '0' UNION ALL
+    SELECT p.node, p.distance, way.path || ',' || p.node FROM way JOIN p ON previous = way.node) SELECT * FROM way WHERE node <> 0"""
+)
+def graph_shortest_path_nodes(spark, sf_dir):
+    found = graph.paths(graph.shortest_paths(_graph(spark, sf_dir)[1], 0), 0)
+    return found.select("node", "distance", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+
+
+@_query(_paths_sql("(SELECT * FROM edges WHERE src % 5 <> 3 AND dst % 5 <> 3)") + " SELECT node, distance FROM p")
+def graph_shortest_path_registered(spark, sf_dir):
+    """A search over registered nodes alone: a fifth of the words isn't."""
+    nodes, edges = _graph(spark, sf_dir)
+    return graph.shortest_paths(edges, 0, nodes.where("id % 5 <> 3")).select("node", "distance")
+
+
+@_query(f"WITH {_GRAPH} SELECT seq, dst, weight FROM edges WHERE src = 0")
+def graph_edge_details(spark, sf_dir):
+    return graph.edge_details(_graph(spark, sf_dir)[1], 0).select("seq", "dst", "weight")
+
+
 @_query(f"WITH {_GRAPH} SELECT seq, src, dst, weight FROM edges WHERE src <> 1 AND dst <> 1")
 def graph_remove_node(spark, sf_dir):
     return graph.remove_node(*_graph(spark, sf_dir), 1)[1]
@@ -456,10 +536,16 @@ def graph_remove_node(spark, sf_dir):
     SELECT seq, src, dst, weight FROM edges, p, f WHERE NOT (src = s AND dst = t AND seq = q)"""
 )
 def graph_remove_edge(spark, sf_dir):
-    edges = _graph(spark, sf_dir)[1]
-    pair = edges.agg(F.min(F.struct("src", "dst")).alias("p")).select("p.src", "p.dst")
-    first = edges.join(F.broadcast(pair), ["src", "dst"]).groupBy("src", "dst").agg(F.min("seq").alias("seq"))
-    return edges.join(F.broadcast(first), ["src", "dst", "seq"], "left_anti").select("seq", "src", "dst", "weight")
+    edges = cut(_graph(spark, sf_dir)[1])
+    pair = edges.agg(F.min(F.struct("src", "dst")).alias("p")).first()["p"]
+    return graph.remove_edge(edges, pair["src"], pair["dst"])[0].select("seq", "src", "dst", "weight")
+
+
+@_query(f"WITH {_GRAPH}, p AS (SELECT min(struct_pack(s := src, t := dst)) AS p FROM edges) SELECT src, dst, arg_max(weight, seq) AS weight FROM edges, p WHERE NOT (src = p.s AND dst = p.t) GROUP BY src, dst")
+def graph_remove_edge_lookup(spark, sf_dir):
+    edges = cut(_graph(spark, sf_dir)[1])
+    pair = edges.agg(F.min(F.struct("src", "dst")).alias("p")).first()["p"]
+    return graph.remove_edge(edges, pair["src"], pair["dst"])[1]
 
 
 @_query(
@@ -518,12 +604,53 @@ def sgns_train(spark, sf_dir):
 
 
 # sentiment
-@_query()
+_LEXICON = (["good", "the"], ["trash", "idiot", "stupid"])
+
+
+@_query(
+    rf"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\S+') AS w FROM documents),
+    h AS (SELECT doc_id, len(list_filter(w, lambda x: list_contains({_LEXICON[0]}, x))) AS p, len(list_filter(w, lambda x: list_contains({_LEXICON[1]}, x))) AS n FROM w)
+    SELECT doc_id, 'local' AS source, CASE WHEN p = n THEN 'Neutral' WHEN p > n THEN 'Positive' ELSE 'Negative' END AS label,
+        CASE WHEN p = n THEN 0.0 ELSE round(abs(p - n) / (p + n), 6) END AS score, 'Objective' AS subjectivity FROM h"""
+)
 def polarity_score(spark, sf_dir):
-    p = sentiment.analyze(_t(spark, sf_dir, "documents").select("doc_id", "text"), lambda: sentiment.LexiconScorer({"good", "the"}, {"trash", "idiot", "stupid"}))
+    """A scorer that the caller supplies, here two word lists; no document of these tables has a pronoun."""
+    words = [set(x) for x in _LEXICON]
+    p = sentiment.analyze(_t(spark, sf_dir, "documents").select("doc_id", "text"), lambda: sentiment.LexiconScorer(*words))
     return p.select("doc_id", "polarity.source", "polarity.label", _r(F.col("polarity.score")).alias("score"), F.col("subjectivity.label").alias("subjectivity"))
 
 
+def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _t(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("positive"))
+    return _t(spark, sf_dir, "documents").join(labels, "doc_id").select("text", "positive")
+
+
+_TRAINED = (
+    f"t AS (SELECT doc_id, {_PLAIN} AS w FROM documents), l AS (SELECT unnest(w) AS token, quality = 1 AS y FROM t JOIN labels USING (doc_id)),"
+    " k AS (SELECT token, count(*) FILTER (WHERE y) AS p, count(*) FILTER (WHERE NOT y) AS n FROM l GROUP BY token),"
+    " s AS (SELECT sum(p) AS p, sum(n) AS n, count(*) AS v FROM k),"
+    " m AS (SELECT token, ln((k.p + 1) / (s.p + s.v)) - ln((k.n + 1) / (s.n + s.v)) AS weight FROM k, s)"
+)
+
+
+@_query(f"WITH {_TRAINED} SELECT token, round(weight, 6) AS weight FROM m")
+def polarity_train(spark, sf_dir):
+    """Word weights from the quality labels: what the corpus has as ratings."""
+    return sentiment.train(_rated(spark, sf_dir)).select("token", _r(F.col("weight")).alias("weight"))
+
+
+@_query(
+    f"""WITH {_TRAINED}, x AS (SELECT doc_id, unnest(w) AS token FROM t), a AS (SELECT doc_id, avg(weight) AS z FROM x JOIN m USING (token) GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN z IS NULL OR round(z, 9) = 0 THEN 'Neutral' WHEN z > 0 THEN 'Positive' ELSE 'Negative' END AS label, round(coalesce(abs(2 / (1 + exp(-z)) - 1), 0.0), 6) AS score
+    FROM documents LEFT JOIN a USING (doc_id)"""
+)
+def polarity_trained_score(spark, sf_dir):
+    """All documents by the trained weights, without leaving the JVM."""
+    model = cut(sentiment.train(_rated(spark, sf_dir)))
+    p = sentiment.score_by_weights(_t(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return p.select("doc_id", "polarity.label", _r(F.col("polarity.score")).alias("score"))
+
+
 @_query(
     """WITH c(id, label, score, other, other_score) AS (VALUES (1, 'Positive', 0.9, 'negative', 0.1), (2, 'POSITIVE', 0.8, 'Neutral', 0.2), (3, 'negative', 0.5, 'Positive', 0.5)),
     b AS (SELECT id, CASE WHEN score > other_score THEN label ELSE other END AS l FROM c)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -28,13 +31,45 @@ def ship(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as rows in the folder of spark.checkpoint.dir, or in one of our own where that is unset (tests)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lexgrove-"))
+    """df as rows in the folder of spark.checkpoint.dir."""
+    shared(df.sparkSession)
     return df.checkpoint()
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset one of our own if all run on this machine (tests); on a
+    cluster that is an error."""
+    sc = spark.sparkContext
+    now = sc._jsc.sc().getCheckpointDir()
+    if now.isDefined():
+        return now.get()
+    have = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not have:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        have = "file://" + tempfile.mkdtemp(prefix="lexgrove-")
+    sc.setCheckpointDir(have)
+    return have
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder."""
+    return f"{shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def ranked(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
+    """df with the place of each row in the given order, from `start`; rows that tie have places next to one another.
+
+    Rows are sorted by ranges; a place is the one in its range plus the rows in earlier ranges, so that no task has them all."""
+    parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    at = F.monotonically_increasing_id()  # the partition above 33 bits, the row below
+    placed = parts.withColumn("__part", F.shiftright(at, 33)).withColumn("__row", at.bitwiseAND(F.lit((1 << 33) - 1)))
+    before = F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    starts = placed.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
+    both = placed.join(F.broadcast(starts), "__part")  # a row for each partition
+    return both.withColumn(name, F.col("__start") + F.col("__row") + start).drop("__part", "__row", "__start")
+
+
 def cut_plan(df: DataFrame) -> DataFrame:
     """As cut, and without the plan's size estimates, which multiply at each join of a loop until they fill the driver."""
     spark, jdf = df.sparkSession, cut(df)._jdf

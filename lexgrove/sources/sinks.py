@@ -20,6 +20,11 @@ def save_vectors(vectors: DataFrame, path: str) -> None:
     vectors.write.mode("overwrite").parquet(path)
 
 
+def save_vectors_lines(vectors: DataFrame, path: str) -> None:
+    """(idx, word, input, output) as JSON, a word a line, which readers split where they like."""
+    vectors.select("idx", "word", "input", "output").write.mode("overwrite").json(path)
+
+
 def save_model_json(vectors: DataFrame, path: str, window: int, dim: int, negatives: int) -> None:
     """One JSON object with the seven fields that load_model_json reads; the whole model is one row, so for small models."""
     rows = F.sort_array(F.collect_list(F.struct("idx", "word", "input", "output")))
@@ -34,10 +39,14 @@ def save_model_json(vectors: DataFrame, path: str, window: int, dim: int, negati
     ).write.mode("overwrite").json(path)
 
 
-def cluster_json(clusters: DataFrame) -> DataFrame:
-    """(cluster, json) from (cluster, size, topics, documents)."""
-    return clusters.select(
-        "cluster", F.to_json(F.struct(F.col("cluster").alias("id"), "documents", "topics", "size")).alias("json")
+def cluster_json(clusters: DataFrame, members: DataFrame, key: str = "doc_id", most: int = 100_000) -> DataFrame:
+    """(cluster, chunk, json) from (cluster, size, topics) and members(key, cluster): an object has about `most` documents at most, so that
+    no row grows with the table; size and topics are those of the whole cluster."""
+    sized = members.join(clusters.select("cluster", "size"), "cluster")
+    chunk = F.pmod(F.xxhash64(key), F.ceil(F.col("size") / most)).cast("int").alias("chunk")
+    listed = sized.groupBy("cluster", chunk).agg(F.sort_array(F.collect_list(key)).alias("documents"))
+    return listed.join(clusters, "cluster").select(
+        "cluster", "chunk", F.to_json(F.struct(F.col("cluster").alias("id"), "documents", "topics", "size")).alias("json")
     )
 
 

@@ -31,6 +31,12 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), F.col("value").alias("word"))
 
 
+def load_vectors_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(idx, word, input, output) of JSON lines, read in parallel: a file of any size is split, and only at ends of lines, never inside a
+    character."""
+    return spark.read.schema("idx long, word string, input array<double>, output array<double>").json(path)
+
+
 def load_model_json(spark: SparkSession, path: str) -> DataFrame:
     """One saved embedding model as one row, all fields of it."""
     return spark.read.schema(MODEL_SCHEMA).option("multiLine", True).json(path)
@@ -50,11 +56,10 @@ def embedding_of(vectors: DataFrame, words: DataFrame) -> DataFrame:
 
 @dataclass
 class ScorerConfig:
-    """Files of a local polarity model; a scorer is made from them on each executor when first used."""
+    """Files of a local polarity model, which all executors can read; see sentiment.save_scorer and sentiment.load_scorer."""
 
-    model: str = "models/model.bin"
+    model: str = "models/model.jsonl"
     config: str = "models/config.json"
-    vocab: str = "models/vocab.txt"
 
 
 @dataclass

@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +135,55 @@ def test_sentiment(spark):
     assert sentiment.local_label("POSITIVE") == "Positive" and sentiment.local_label("x") == "Negative"
 
 
+RATED = [("good day, good food", True), ("fine day", True), ("bad food", False), ("Bad, bad night", False), (None, True), ("unrated", None)]
+
+
+def test_trained_weights_and_both_ways_to_score(spark, tmp_path):
+    model = sentiment.train(spark.createDataFrame(RATED, "text string, positive boolean"))
+    w = {r.token: r.weight for r in model.collect()}
+    assert set(w) == {"good", "day", "food", "fine", "bad", "night"}  # 6 words in positive texts, 5 in the others
+    assert w["good"] == pytest.approx(np.log(3 / 12) - np.log(1 / 11)) and w["bad"] == pytest.approx(np.log(1 / 12) - np.log(4 / 11))
+    texts = spark.createDataFrame([(1, "a good day"), (2, "bad!"), (3, "unknown words"), (4, None), (5, "")], "doc_id long, text string")
+    got = {r.doc_id: r.polarity for r in sentiment.score_by_weights(texts, model).collect()}
+    assert [got[i] and got[i].label for i in range(1, 6)] == ["Positive", "Negative", "Neutral", None, "Neutral"]
+    config = text_files.ScorerConfig(str(tmp_path / "m" / "model.jsonl"), str(tmp_path / "m" / "config.json"))
+    sentiment.save_scorer(model, config)
+    again = {r.doc_id: r.polarity for r in sentiment.score(texts, sentiment.load_scorer(config)).collect()}
+    for i in (1, 2, 3, 5):
+        assert again[i].label == got[i].label and again[i].score == pytest.approx(got[i].score)
+    (tmp_path / "m" / "config.json").write_text('{"kind": "other"}')
+    with pytest.raises(ValueError, match="other"):
+        sentiment.load_scorer(config)()
+
+
+def test_a_hosted_service_through_its_transport(spark):
+    def transport(url, headers, body):
+        assert url == "http://service" and headers["Authorization"] == "Bearer secret"
+        text = json.loads(body)["inputs"]
+        high = 0.9 if "good" in text else 0.5
+        return json.dumps([[{"label": "positive", "score": high}, {"label": "negative", "score": 0.5}]]).encode()
+
+    df = spark.createDataFrame([("a good one",), ("another",), (None,)], "text string")
+    rows = sentiment.score(df, lambda: sentiment.ApiScorer(text_files.ApiConfig("http://service", "secret"), transport), source="api").collect()
+    assert [r.polarity and (r.polarity.source, r.polarity.label, r.polarity.score) for r in rows] == [("api", "Positive", 0.9), ("api", "Negative", 0.5), None]
+    with pytest.raises(ValueError, match="candidates"):
+        sentiment.ApiScorer(text_files.ApiConfig("u", "t"), lambda *_: b"[[]]")(["x"])
+
+
+def test_vectors_as_lines_round_trip_in_parallel(spark, tmp_path):
+    words = [f"wört{i}世" for i in range(400)]
+    v = spark.createDataFrame([(i, w, [i / 3, 1.0], [0.5, -i / 7]) for i, w in enumerate(words)], "idx long, word string, input array<double>, output array<double>").coalesce(1)
+    sinks.save_vectors_lines(v, str(tmp_path / "v"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")  # splits fall inside lines and characters
+    try:
+        back = text_files.load_vectors_lines(spark, str(tmp_path / "v"))
+        assert back.rdd.getNumPartitions() > 4
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, v.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_api_config(monkeypatch):
     monkeypatch.delenv("POLARITY_API_URL", raising=False)
     with pytest.raises(ValueError):

@@ -65,6 +65,23 @@ def test_parallel_edges_and_removal(spark):
     assert {(x.id, x.data) for x in graph.add_nodes(nodes, new).collect()} == {(1, "a"), (2, "c"), (3, "d")}
 
 
+def test_paths_have_the_fewest_edges_of_equal_distances(spark):
+    rows = [(0, 1, 2, 1.0), (1, 2, 3, 1.0), (2, 1, 3, 2.0), (3, 3, 4, 0.0), (4, 4, 3, 0.0), (5, 1, 5, 1.0), (6, 5, 6, 1.0), (7, 2, 6, 1.0)]
+    e = spark.createDataFrame(rows, graph.EDGES)
+    found = graph.shortest_paths(e, 1)
+    got = {r.node: (r.distance, r.hops, r.previous) for r in found.collect()}
+    assert got == {2: (1.0, 1, 1), 3: (2.0, 1, 1), 4: (2.0, 2, 3), 5: (1.0, 1, 1), 6: (2.0, 2, 2)}
+    assert {r.node: r.path for r in graph.paths(found, 1).collect()} == {2: [1, 2], 3: [1, 3], 4: [1, 3, 4], 5: [1, 5], 6: [1, 2, 6]}
+    assert graph.paths(graph.shortest_paths(e, 4), 4).count() == 1 and graph.paths(graph.shortest_paths(e, 99), 99).count() == 0
+
+
+def test_edge_details_and_removal_where_seq_is_shared(spark):
+    e = spark.createDataFrame([(1, 1, 2, 5.0), (1, 2, 3, 6.0), (2, 1, 2, 7.0)], graph.EDGES)
+    assert {tuple(r) for r in graph.edge_details(e, 1).collect()} == {(1, 1, 2, 5.0), (2, 1, 2, 7.0)}
+    left, look = graph.remove_edge(e, 1, 2)
+    assert {tuple(r) for r in left.collect()} == {(1, 2, 3, 6.0), (2, 1, 2, 7.0)} and look.count() == 1
+
+
 def test_registered_nodes_only(spark, edges):
     nodes = spark.createDataFrame([(1, ""), (2, ""), (4, "")], graph.NODES)
     assert graph.shortest_path(edges, 1, 4, nodes) == ([1, 2, 4], 7.0)

@@ -110,3 +110,30 @@ def test_shares_add_up(spark):
     c = ngrams.counts(docs(spark, "a b a b c", "d e"), 2)
     total = ngrams.shares(c, "doc_id").groupBy("doc_id").agg(F.sum("p").alias("t")).collect()
     assert all(r.t == pytest.approx(1) for r in total)
+
+
+def test_cooccurrence_against_windows(spark):
+    """Every window listed, over texts that are cut into small pieces of a batch."""
+    import random
+
+    from lexgrove.operators import ngrams as N
+
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice("abcde") for _ in range(rnd.randrange(0, 30))) for _ in range(40)] + [None, "", "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for n in (1, 2, 3, 5):
+        want = {}
+        for d, t in enumerate(texts):
+            w = (t or "").split()
+            node = {x: i for i, x in enumerate(w)}
+            for i in range(len(w) - n + 1):
+                for x in range(n):
+                    for y in range(x + 1, n):
+                        k = (d, node[w[i + x]], node[w[i + y]])
+                        want[k] = want.get(k, 0) + 1.0
+        assert {(r.doc_id, r.src, r.dst): r.weight for r in N.cooccurrence(docs, n).collect()} == want
+    import pyarrow as pa
+
+    lists = pa.array([(t or "").split() for t in texts])
+    small = [tuple(map(int, x)) for part in N._edges(lists, 3, 10) for x in zip(*part, strict=True)]
+    assert sorted(small) == sorted(tuple(map(int, x)) for part in N._edges(lists, 3) for x in zip(*part, strict=True))

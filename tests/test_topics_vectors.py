@@ -60,7 +60,7 @@ def test_nearest_takes_the_lower_cluster_of_equals(spark):
 def test_topic_model(spark):
     docs = spark.createDataFrame([(i, ("apple pear plum " if i % 2 else "iron steel tin ") * (1 + i % 3)) for i in range(12)] + [(50, "")], "doc_id long, text string")
     assigned, clusters = topic_model.fit(docs, topic_model.TopicConfig(clusters=2, topics=3, dims=64, seed=1))
-    assert assigned.count() == 12 and sum(r["size"] for r in clusters.collect()) == 12
+    assert assigned.count() == 13 and sum(r["size"] for r in clusters.collect()) == 13  # a text without words is a zero vector
 
 
 def test_topics_are_clustered_over_the_whole_vocabulary(spark):
@@ -73,6 +73,7 @@ def test_topics_are_clustered_over_the_whole_vocabulary(spark):
     x = tf * np.log(61 / (tf > 0).sum(axis=0))
     order = [r.doc_id for r in docs.where("doc_id < 99").orderBy(F.xxhash64(F.lit(2), "doc_id"), "doc_id").collect()]
     c = x[order[:4]].copy()
+    x = np.vstack([x, np.zeros(len(names))])  # the document without words
     for _ in range(100):
         who = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
         new = np.stack([x[who == k].mean(axis=0) if (who == k).any() else c[k] for k in range(4)])
@@ -81,4 +82,28 @@ def test_topics_are_clustered_over_the_whole_vocabulary(spark):
             break
     who = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
     assigned, _ = topic_model.fit(docs, topic_model.TopicConfig(clusters=4, seed=2))
-    assert len(names) > 1000 and {r.doc_id: r.cluster for r in assigned.collect()} == dict(enumerate(who.tolist()))
+    assert len(names) > 1000 and {r.doc_id: r.cluster for r in assigned.collect()} == dict(zip([*range(60), 99], who.tolist(), strict=True))
+
+
+def test_odd_vectors(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [5.0, 5.0]), (3, [1.0, None]), (4, [float("nan"), 0.0]), (5, [float("inf"), 1.0])], "vec_id long, v array<double>")
+    got, _ = topics.kmeans(df, initial=np.array([[0.0, 0.0], [4.0, 4.0]]))
+    assert {r.vec_id: r.cluster for r in got.collect()} == {1: 0, 2: 1}
+    ragged = spark.createDataFrame([(1, [1.0]), (2, [5.0, 5.0]), (3, [4.0, 6.0])], "vec_id long, v array<double>")
+    with pytest.raises(Exception, match="entries"):
+        topics.kmeans(ragged, initial=np.array([[1.0, 0.0], [5.0, 5.0]]))[0].collect()
+    even, _ = topics.kmeans(topics.align(ragged), initial=np.array([[1.0, 0.0], [5.0, 5.0]]))
+    assert {r.vec_id: r.cluster for r in even.collect()} == {1: 0, 2: 1, 3: 1}
+
+
+def test_cluster_json_is_in_chunks(spark):
+    from lexgrove.sources.sinks import cluster_json
+
+    members = spark.createDataFrame([(i, 0) for i in range(50)] + [(99, 1)], "doc_id long, cluster int")
+    clusters = spark.createDataFrame([(0, 50, ["a"]), (1, 1, None)], "cluster int, size long, topics array<string>")
+    rows = cluster_json(clusters, members, most=10).collect()
+    import json
+
+    docs = [d for r in rows for d in json.loads(r.json)["documents"]]
+    assert sorted(docs) == [*range(50), 99] and len(rows) > 4
+    assert all(json.loads(r.json)["size"] == (50 if r.cluster == 0 else 1) for r in rows)
