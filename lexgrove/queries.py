@@ -640,8 +640,8 @@ def polarity_train(spark, sf_dir):
 
 
 @_query(
-    f"""WITH {_TRAINED}, x AS (SELECT doc_id, unnest(w) AS token FROM t), a AS (SELECT doc_id, avg(weight) AS z FROM x JOIN m USING (token) GROUP BY doc_id)
-    SELECT doc_id, CASE WHEN z IS NULL OR round(z, 9) = 0 THEN 'Neutral' WHEN z > 0 THEN 'Positive' ELSE 'Negative' END AS label, round(coalesce(abs(2 / (1 + exp(-z)) - 1), 0.0), 6) AS score
+    f"""WITH {_TRAINED}, x AS (SELECT doc_id, unnest(w) AS token FROM t), a AS (SELECT doc_id, round(avg(weight), 9) AS z FROM x JOIN m USING (token) GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN z IS NULL OR z = 0 THEN 'Neutral' WHEN z > 0 THEN 'Positive' ELSE 'Negative' END AS label, round(coalesce(abs(2 / (1 + exp(-z)) - 1), 0.0), 6) AS score
     FROM documents LEFT JOIN a USING (doc_id)"""
 )
 def polarity_trained_score(spark, sf_dir):
