@@ -17,12 +17,14 @@ from lexgrove.llm.shared import cut
 from lexgrove.llm.textbuf import splitmix
 
 MIN_COSINE, BLOCKS, SEED = 0.9, 3, 41
-#: filters of one code that a vector exceeds, unrelated vectors in a filter, recall of pairs at the limit that the number of codes is designed for
-PER_CODE, BUCKET, RECALL = 2, 256, 0.95
+#: filters of one code that a vector exceeds on average (few filters of many codes need fewer copies for the same recall), unrelated vectors in a filter, recall of pairs at the limit that the number of codes is designed for
+PER_CODE, BUCKET, RECALL = 0.5, 1024, 0.98
+#: simulated pairs that a plan is measured on, and share of vectors without a filter
+PAIRS, MISSED = 2048, 1e-4
 #: a vector in a bucket larger than this is first compared with pivots
 SMALL = 48
 #: bits of a signature, and standard deviations by which the signatures of a pair at the limit may differ more than expected
-SIGN_BITS, SLACK = 128, 4.5
+SIGN_BITS, SLACK = 256, 4.5
 #: vectors with a partner by signature whose ids are broadcast at most; more are joined by a shuffle
 FEW = 1 << 20
 
@@ -62,16 +64,17 @@ def plan(n: int, dims: int, limit: float, seed: int = SEED, recall: float = RECA
     """(words of a codebook, height of the caps, codes) for n vectors.
 
     A code has so many filters that about BUCKET unrelated vectors share one, whatever n is. How often a pair at the limit meets in
-    one code is measured on simulated pairs; the number of independent codes follows from it and the designed recall."""
+    one code is measured on simulated pairs; the number of independent codes follows from it and the designed recall, and hardly a vector
+    (one in 1 / MISSED) has no filter at all."""
     blocks = min(BLOCKS, dims)
     words = max(2, round((n * PER_CODE / BUCKET) ** (1 / blocks)))
     height = cap_height(dims, min(0.5, PER_CODE / words**blocks))
-    a, b = pairs_at(limit, 512, dims, seed)
+    a, b = pairs_at(limit, PAIRS, dims, seed)
     turn, books = rotation(dims, seed), codebooks(dims, words, seed)
     (ra, ca), (rb, cb) = list_decode(a @ turn, books, height), list_decode(b @ turn, books, height)
-    met = len(set(ra[np.isin(ra * words**blocks + ca, rb * words**blocks + cb)].tolist())) / 512
-    met = min(max(met, 1 / 512), 0.999)
-    return words, height, max(1, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+    met = len(set(ra[np.isin(ra * words**blocks + ca, rb * words**blocks + cb)].tolist())) / PAIRS
+    met, some = (min(max(x, 1 / PAIRS), 0.999) for x in (met, len(np.unique(ra)) / PAIRS))
+    return words, height, max(1, math.ceil(math.log(1 - recall) / math.log(1 - met)), math.ceil(math.log(MISSED) / math.log(1 - some)))
 
 
 def list_decode(v: np.ndarray, books: list[np.ndarray], height: float) -> tuple[np.ndarray, np.ndarray]:
