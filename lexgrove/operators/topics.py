@@ -143,21 +143,18 @@ def kmeans(
 
         return run
 
-    src = src.persist()
-    try:
-        for _ in range(max_iter):
-            got = src.mapInArrow(sums(c), "cluster int, n long, s array<double>")
-            each = [F.sum(F.col("s")[i]) for i in range(c.shape[1])]
-            new = c.copy()
-            for r in got.groupBy("cluster").agg(F.sum("n").alias("n"), F.array(*each).alias("s")).collect():
-                if r["n"]:
-                    new[r["cluster"]] = np.array(r["s"]) / r["n"]
-            moved = np.abs(new - c).max()
-            c = new
-            if moved < tol:
-                break
-    finally:
-        src.unpersist()
+    src = cut(src)
+    for _ in range(max_iter):
+        got = src.mapInArrow(sums(c), "cluster int, n long, s array<double>")
+        each = [F.sum(F.col("s")[i]) for i in range(c.shape[1])]
+        new = c.copy()
+        for r in got.groupBy("cluster").agg(F.sum("n").alias("n"), F.array(*each).alias("s")).collect():
+            if r["n"]:
+                new[r["cluster"]] = np.array(r["s"]) / r["n"]
+        moved = np.abs(new - c).max()
+        c = new
+        if moved < tol:
+            break
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,7 +16,8 @@ MODEL_SCHEMA = (
 
 
 def default_stopwords() -> list[str]:
-    """The list that comes with the library; a few hundred words, so that it can be a literal of a plan."""
+    """The library's own list of English function words and contractions, with and without apostrophes, as punctuation is taken off before words
+    are compared. A few hundred words, so that it can be a literal of a plan."""
     return (resources.files("lexgrove") / "resources" / "stopwords.txt").read_text("utf-8").split()
 
 
