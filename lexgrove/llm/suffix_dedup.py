@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lexgrove.llm.shared import filesystem, fresh_path, unused
 from lexgrove.llm.textbuf import U64, pieces, spans_hash, texts_of, word_hashes, words
 
-MIN_WORDS, SHARD_WORDS = 50, 1 << 20
+MIN_WORDS, SHARD_WORDS = 50, 1 << 19
 LANE = 256
 
 
@@ -66,14 +66,14 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
     out = np.zeros(n, np.int64)
     if n < 2:
         return out
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.arange(n)
-    prev = np.full(n, -1, np.int64)
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.arange(n, dtype=np.int32)
+    prev = np.full(n, -1, np.int32)
     prev[sa[1:]] = sa[:-1]
     at = np.arange(0, n, LANE)
     stop = np.minimum(at + LANE, n)
     h = np.zeros(len(at), np.int64)
-    common = np.zeros(n, np.int64)
+    common = np.zeros(n, np.int32)
     padded = np.append(s, -1)
     while len(at):
         p = prev[at]

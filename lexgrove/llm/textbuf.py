@@ -44,12 +44,14 @@ for _i in range(0x80, 0x10000):
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; grown on demand and kept per process."""
+    """base**0 .. base**(n-1) modulo 2**64; up to 2**19 of them are kept per process."""
     have = _pow.get(base)
     if have is None or len(have) < n:
         out = np.full(max(n, 1 << 16), base, U64)
         out[0] = 1
-        have = _pow[base] = np.multiply.accumulate(out)
+        have = np.multiply.accumulate(out)
+        if n <= 1 << 19:
+            _pow[base] = have
     return have[:n]
 
 
