@@ -110,7 +110,8 @@ def kmeans(
     of different lengths are an error: `align` makes them equally long.
 
     Starts are k rows by a hash of the key (fewer if there are fewer). A centroid without rows stays; it ends when no
-    coordinate moves by tol. Each round is one pass in which a partition sends only k sums, so what the driver gets depends on k alone.
+    coordinate moves by tol, with a tol of 0 when none moves at all, or after max_iter rounds. Distances are added up coordinate by coordinate, as SQL
+    does it. Each round is one pass in which a partition sends only k sums, so what the driver gets depends on k alone.
     """
     src = vectors.select(key, F.col("v").cast("array<double>").alias("v")).where("v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
     if initial is None:
@@ -125,7 +126,10 @@ def kmeans(
         if len(v) != batch.num_rows * c.shape[1]:
             raise ValueError(f"vectors must have {c.shape[1]} entries each")
         v = v.reshape(batch.num_rows, -1)
-        return v, ((v * v).sum(axis=1)[:, None] - 2 * v @ c.T + (c * c).sum(axis=1)).argmin(axis=1)
+        distance = np.zeros((len(v), len(c)))
+        for i in range(c.shape[1]):
+            distance += (v[:, i, None] - c[:, i]) ** 2
+        return v, distance.argmin(axis=1)
 
     def sums(c: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,14 +150,13 @@ def kmeans(
     src = cut(src)
     for _ in range(max_iter):
         got = src.mapInArrow(sums(c), "cluster int, n long, s array<double>")
-        each = [F.sum(F.col("s")[i]) for i in range(c.shape[1])]
         new = c.copy()
-        for r in got.groupBy("cluster").agg(F.sum("n").alias("n"), F.array(*each).alias("s")).collect():
+        for r in got.select("cluster", "n", F.posexplode("s").alias("i", "x")).groupBy("cluster", "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect():
             if r["n"]:
-                new[r["cluster"]] = np.array(r["s"]) / r["n"]
-        moved = np.abs(new - c).max()
+                new[r["cluster"], r["i"]] = r["x"] / r["n"]
+        moved = np.abs(new - c).max(initial=0.0)
         c = new
-        if moved < tol:
+        if moved < tol or moved == 0:
             break
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

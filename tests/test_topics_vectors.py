@@ -107,3 +107,35 @@ def test_cluster_json_is_in_chunks(spark):
     docs = [d for r in rows for d in json.loads(r.json)["documents"]]
     assert sorted(docs) == [*range(50), 99] and len(rows) > 4
     assert all(json.loads(r.json)["size"] == (50 if r.cluster == 0 else 1) for r in rows)
+
+
+def test_kmeans_runs_as_many_rounds_as_it_is_told(spark):
+    """A centroid that still moves by less than the default tolerance moves on with a tolerance of 0, and it ends after max_iter rounds."""
+    x = np.array([0.0, 1.0, 1.00002, 2.0])[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    start = np.array([[0.0], [1.33336]])  # the first round moves 1.33336 to 1.33334, by less than 1e-4, and then nothing moves
+    assert np.allclose(topics.kmeans(df, initial=start)[1].ravel(), [0.0, 4.00002 / 3], atol=1e-12)
+    rng = np.random.default_rng(7)
+    y = rng.normal(size=(400, 2))
+    many = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id long, v array<double>")
+    for rounds in (3, 100):
+        c = y[:6].copy()
+        for _ in range(rounds):
+            who = ((y[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            c = np.stack([y[who == k].mean(axis=0) if (who == k).any() else c[k] for k in range(6)])
+        assert np.allclose(topics.kmeans(many, initial=y[:6], max_iter=rounds, tol=0.0)[1], c, atol=1e-9)
+
+
+def test_the_fit_from_starts_is_its_sql_where_it_takes_many_rounds(spark, tmp_path):
+    """Rows without clear clusters, for which 30 rounds are too few or a small move is followed by a change of cluster."""
+    import duckdb
+
+    from lexgrove import queries
+
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).round(3).tolist(), int(i % 8)) for i in range(3000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = dict(con.execute(queries.oracle_sql()["kmeans_fit_from_starts"]).fetchall())
+    assert {r.vec_id: r.cluster for r in queries.kmeans_fit_from_starts(spark, str(tmp_path)).collect()} == want
