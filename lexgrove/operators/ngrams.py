@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +11,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrove.functions import text as T
+from lexgrove.operators import batches as B
+from lexgrove.session import cut
+
+#: totals that are broadcast at most
+FEW = 1 << 20
 
 
 def counts(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     """(key, ngram, cnt) over raw tokens: neither case nor punctuation is changed."""
-    grams = docs.select(key, T.tokens("text").alias("w")).select(key, F.explode(T.ngrams("w", n)).alias("ngram"))
-    return grams.groupBy(key, "ngram").agg(F.count("*").alias("cnt"))
+    return _counted(docs, n, key).drop("length")
+
+
+def probability(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """(key, ngram, p): as shares of counts, whose totals are known where a row is counted."""
+    return _counted(docs, n, key).select(key, "ngram", (F.col("cnt") / F.col("length")).alias("p"))
+
+
+def _counted(docs: DataFrame, n: int, key: str) -> DataFrame:
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    return B.count_in_rows(docs.select(key, "text"), key, "text", n, B.split, "ngram")
 
 
 def counts_by_period(docs: DataFrame, n: int, period: str, order: str, mode: str = "last") -> DataFrame:
@@ -29,21 +44,75 @@ def counts_by_period(docs: DataFrame, n: int, period: str, order: str, mode: str
     rows = docs.select(F.col(period).alias("period"), F.col(order).alias("ord"), "text")
     if mode == "last":  # max_by aggregates before the shuffle, where a ranking window would move every text
         rows = rows.groupBy("period").agg(F.max_by("text", "ord").alias("text"))
-    grams = rows.select("period", T.tokens("text").alias("w")).select("period", F.explode_outer(T.ngrams("w", n)).alias("ngram"))
-    found = grams.groupBy("period", "ngram").agg(F.count("ngram").alias("cnt"))
-    if mode == "last":
-        return found
-    # sums by period before the shuffle: a window would bring all n-grams of a period together
-    none = found.groupBy("period").agg(F.max("cnt").alias("cnt")).where("cnt = 0").select("period", F.lit(None).cast("string").alias("ngram"), "cnt")
-    return found.where("cnt > 0").unionByName(none)
+    return _met(rows.select("period", "text"), n, lambda t: t, "period {}, ngram string, cnt long")
+
+
+def stats_by_ngram(docs: DataFrame, n: int, period: str) -> DataFrame:
+    """(ngram, mean, variance, std_dev) of counts_by_period, mode 'sum': as stats.analyze, in the tasks that have all counts of an n-gram."""
+
+    def analyzed(t: pa.Table) -> pa.Table:
+        g = t.group_by("ngram", use_threads=False).aggregate([("cnt", "mean"), ("cnt", "variance")]).rename_columns(["ngram", "mean", "variance"])
+        return g.append_column("std_dev", pc.sqrt(g["variance"]))
+
+    return _met(docs.select(F.col(period).alias("period"), "text"), n, analyzed, "ngram string, mean double, variance double, std_dev double")
+
+
+def _met(rows: DataFrame, n: int, then: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """`then` of the tables (period, ngram, cnt) of rows(period, text), of which each n-gram is in one."""
+    if n < 1:
+        raise ValueError("n must be at least 1")
+
+    def added(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        for t in B.summed(["period", "ngram"])(tables):
+            yield from B.batched(then(t.filter(pc.or_(pc.is_valid(t["ngram"]), pc.equal(t["cnt"], 0))).select(["period", "ngram", "cnt"])))
+
+    return B.met(rows, _gram_tables(n), ["ngram"], added, schema.format(dict(rows.dtypes)["period"]))
+
+
+def _gram_tables(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Table]]:
+    """Tables (ngram, period, cnt), and for each period of a batch a row with a null n-gram and the number of all its n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        for batch in (x for batch in batches for x in B.slices(batch)):
+            flat, size = B.split(batch.column(1))
+            coded = batch.column(0).dictionary_encode(null_encoding="encode")
+            period = np.asarray(coded.indices, np.int64)
+            total = np.zeros(len(coded.dictionary), np.int64)
+            np.add.at(total, period, np.maximum(size - n + 1, 0))
+            yield pa.table({"ngram": pa.nulls(len(total), pa.string()), "period": coded.dictionary, "cnt": pa.array(total)})
+            for i, j, some in B.pieces(flat, size):
+                row = np.repeat(np.arange(i, j), size[i:j])
+                group, gram, cnt = B.gram_counts(some, period[row], row, n)
+                yield pa.table({"ngram": gram.cast(pa.string()), "period": coded.dictionary.take(pa.array(group)), "cnt": pa.array(cnt)})
+
+    return run
+
+
+def totals(docs: DataFrame, n: int, period: str) -> DataFrame:
+    """(period, total): how many n-grams the texts of a period have; for periods with any."""
+    rows = docs.select(F.col(period).alias("period"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for batch in batches for x in B.slices(batch)):
+            size = B.split(batch.column(1))[1]
+            t = pa.table({"period": batch.column(0), "total": pa.array(np.maximum(size - n + 1, 0))})
+            yield from B.batched(t.group_by("period", use_threads=False).aggregate([("total", "sum")]).rename_columns(["period", "total"]))
+
+    some = rows.mapInArrow(run, f"period {dict(rows.dtypes)['period']}, total long")
+    return some.groupBy("period").agg(F.sum("total").alias("total")).where("total > 0")
+
 
+def distribution(docs: DataFrame, n: int, period: str) -> DataFrame:
+    """(period, ngram, p) over all texts of each period. Totals are counted in the texts first, so that n-grams are shuffled once."""
+    return shares(counts_by_period(docs, n, period, period, mode="sum"), total=totals(docs, n, period))
 
-def shares(table: DataFrame, key: str = "period") -> DataFrame:
-    """(key, ngram, p): count by the key's total.
 
-    Totals are added up before the shuffle and joined, so that no task needs all n-grams of a key; the counts are one exchange that both use."""
+def shares(table: DataFrame, key: str = "period", total: DataFrame | None = None) -> DataFrame:
+    """(key, ngram, p): count by the key's total, which is (key, total) if the caller knows it."""
     some = table.where("cnt > 0").select(key, "ngram", "cnt")
-    total = some.groupBy(key).agg(F.sum("cnt").alias("total"))
+    total = cut(some.groupBy(key).agg(F.sum("cnt").alias("total")) if total is None else total)
+    if total.count() <= FEW:  # the table stays where it is; else all n-grams of a key would get to one task
+        total = F.broadcast(total)
     return some.join(total, key).select(key, "ngram", (F.col("cnt") / F.col("total")).alias("p"))
 
 

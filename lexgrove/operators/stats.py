@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexgrove.operators import batches as B
 from lexgrove.session import cut
 
 
@@ -60,10 +65,43 @@ def mode(dist: DataFrame, by: str) -> DataFrame:
 
 
 def _pairs(dist: DataFrame, by: str) -> DataFrame:
-    """(p_key, q_key, p, q) of the n-grams that two distributions share: one shuffle by n-gram, pairs are made in its row."""
-    of = dist.groupBy("ngram").agg(F.collect_list(F.struct(F.col(by).alias("k"), "p")).alias("of"))
-    one = of.select("of", F.explode("of").alias("x"))
-    return one.select(F.col("x.k").alias("p_key"), F.col("x.p").alias("p"), F.explode("of").alias("y")).select("p_key", F.col("y.k").alias("q_key"), "p", F.col("y.p").alias("q"))
+    """(p_key, q_key, kl, a, b, sp, sq): sums over the n-grams that two distributions share, in both orders and of each with itself.
+
+    One shuffle by n-gram; pairs are made and added up in its task, so that only rows for pairs of keys leave it. With m = (p + q) / 2 a is the sum of
+    p log2(p / m), b that of q log2(q / m)."""
+    names = ["kl", "a", "b", "sp", "sq"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        for batch in batches:
+            yield pa.Table.from_batches([batch])
+
+    def together(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        held = list(tables)
+        if not held:
+            return
+        t = pa.concat_tables(held).combine_chunks()
+        gram = np.asarray(B.whole(t["ngram"]).dictionary_encode(null_encoding="encode").indices, np.int64)
+        coded = B.whole(t["k"]).dictionary_encode(null_encoding="encode")
+        order = np.argsort(gram, kind="stable")
+        gram, key, p = gram[order], np.asarray(coded.indices, np.int64)[order], np.asarray(t["p"], float)[order]
+        width, step, total = len(coded.dictionary), 0, {}
+        while len(same := np.flatnonzero(gram[step:] == gram[: len(gram) - step]) if step < len(gram) else np.zeros(0, np.int64)):
+            for x, y in [(same, same + step), (same + step, same)][: 2 if step else 1]:
+                pair, back = np.unique(key[x] * width + key[y], return_inverse=True)
+                mid = (p[x] + p[y]) / 2
+                sums = [p[x] * np.log2(p[x] / p[y]), p[x] * np.log2(p[x] / mid), p[y] * np.log2(p[y] / mid), p[x], p[y]]
+                for k, *values in zip(pair.tolist(), *[np.bincount(back.reshape(-1), s, len(pair)) for s in sums], strict=True):
+                    total[k] = np.array(values) + total.get(k, 0.0)
+            step += 1
+        pairs = np.array(list(total), np.int64)
+        sums = np.array(list(total.values())).reshape(-1, len(names))
+        out = pa.table({"p_key": coded.dictionary.take(pa.array(pairs // width)), "q_key": coded.dictionary.take(pa.array(pairs % width))} | {c: pa.array(sums[:, i]) for i, c in enumerate(names)})
+        yield from B.batched(out)
+
+    some = dist.select("ngram", F.col(by).alias("k"), F.col("p").cast("double").alias("p")).where("p > 0")
+    kind = dict(some.dtypes)["k"]
+    found = B.met(some, rows, ["ngram"], together, f"p_key {kind}, q_key {kind}, " + ", ".join(f"{c} double" for c in names))
+    return found.groupBy("p_key", "q_key").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def _every(part: DataFrame) -> DataFrame:
@@ -74,7 +112,7 @@ def _every(part: DataFrame) -> DataFrame:
 
 def kl_divergence(dist: DataFrame, by: str) -> DataFrame:
     """(p_key, q_key, kl) of all ordered pairs of distributions: n-grams that both have; 0 if none. The table of pairs is small and made at once."""
-    part = cut(_pairs(dist, by).groupBy("p_key", "q_key").agg(F.sum(F.col("p") * F.log2(F.col("p") / F.col("q"))).alias("kl")))
+    part = cut(_pairs(dist, by).select("p_key", "q_key", "kl"))
     return _every(part).select("p_key", "q_key", F.coalesce("kl", F.lit(0.0)).alias("kl"))
 
 
@@ -85,12 +123,7 @@ def js_divergence(dist: DataFrame, by: str, symmetric: bool = False) -> DataFram
     `symmetric` it has those of both. Only n-grams that P and Q share need to meet: with s the mass of P on them, the rest of P
     adds half of 1 - s (p against p/2 is one bit), and the same holds for Q in the symmetric form.
     """
-    m = (F.col("p") + F.col("q")) / 2
-    shared = cut(
-        _pairs(dist, by)
-        .groupBy("p_key", "q_key")
-        .agg(F.sum(F.col("p") * F.log2(F.col("p") / m)).alias("a"), F.sum(F.col("q") * F.log2(F.col("q") / m)).alias("b"), F.sum("p").alias("sp"), F.sum("q").alias("sq"))
-    )
+    shared = cut(_pairs(dist, by).drop("kl"))
     zero = F.lit(0.0)
     left = F.coalesce("a", zero) + (1 - F.coalesce("sp", zero))
     right = F.coalesce("b", zero) + ((1 - F.coalesce("sq", zero)) if symmetric else zero)

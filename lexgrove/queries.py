@@ -82,7 +82,7 @@ def _by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.shares(_by_lang(spark, sf_dir))
+    return ngrams.distribution(_t(spark, sf_dir, "documents"), 2, "lang")
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +170,7 @@ def ngram_freq_by_period(spark, sf_dir):
 
 @_query(f"WITH {_GRAMS}, c AS (SELECT doc_id, ngram, count(*) AS cnt FROM grams GROUP BY ALL) SELECT doc_id, ngram, round(cnt / sum(cnt) OVER (PARTITION BY doc_id), 6) AS p FROM c")
 def ngram_probability(spark, sf_dir):
-    return ngrams.shares(ngrams.counts(_t(spark, sf_dir, "documents"), 2), "doc_id").withColumn("p", _r(F.col("p")))
+    return ngrams.probability(_t(spark, sf_dir, "documents"), 2).withColumn("p", _r(F.col("p")))
 
 
 @_query(f"WITH {_DIST} SELECT period, round(sum(-p * log2(p)), 6) AS entropy FROM d GROUP BY period")
@@ -221,7 +221,7 @@ def ngram_stats_by_period(spark, sf_dir):
 
 @_query(f"WITH {_DIST} SELECT ngram, round(avg(cnt), 6) AS mean, round(var_pop(cnt), 6) AS variance, round(stddev_pop(cnt), 6) AS std_dev FROM c GROUP BY ngram")
 def ngram_stats_by_ngram(spark, sf_dir):
-    return _round_all(stats.analyze(_by_lang(spark, sf_dir), "ngram"), "mean", "variance", "std_dev")
+    return _round_all(ngrams.stats_by_ngram(_t(spark, sf_dir, "documents"), 2, "lang"), "mean", "variance", "std_dev")
 
 
 def _round_all(df: DataFrame, *columns: str) -> DataFrame:

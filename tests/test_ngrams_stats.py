@@ -137,3 +137,69 @@ def test_cooccurrence_against_windows(spark):
     lists = pa.array([(t or "").split() for t in texts])
     small = [tuple(map(int, x)) for part in N._edges(lists, 3, 10) for x in zip(*part, strict=True)]
     assert sorted(small) == sorted(tuple(map(int, x)) for part in N._edges(lists, 3) for x in zip(*part, strict=True))
+
+
+ODD = ["a b a b", "a", None, "", " \u3000a\u00a0b\x85c\n", "\x1ca\x1c b", "b a b a b", "a\tb \U0001f600 c"]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5])
+def test_counts_of_odd_texts_and_keys_that_rows_share(spark, n):
+    from lexgrove.functions import text as T
+
+    keys = [0, 1, 2, 3, 4, 4, None, None]
+    df = spark.createDataFrame(list(zip(keys, ODD, strict=True)), "doc_id long, text string")
+    want = Counter((r.doc_id, " ".join(r.w[i : i + n])) for r in df.select("doc_id", T.tokens("text").alias("w")).collect() for i in range(len(r.w or []) - n + 1))
+    assert {(r[0], r[1]): r[2] for r in ngrams.counts(df, n).collect()} == want
+    total = Counter()
+    for (k, _), c in want.items():
+        total[k] += c
+    assert {(r[0], r[1]): r[2] for r in ngrams.probability(df, n).collect()} == {k: c / total[k[0]] for k, c in want.items()}
+    found = {(r[0], r[1]): r[2] for r in ngrams.counts_by_period(df, n, "doc_id", "doc_id", mode="sum").collect()}
+    assert found == want | {(k, None): 0 for k in set(keys) if not total[k]}
+
+
+def test_unique_keys_are_counted_without_a_shuffle_and_periods_are_not_gathered(spark):
+    """An exchange by period would bring all n-grams of a period to one task."""
+    df = spark.createDataFrame([(i, "a b c", "p") for i in range(5)], "doc_id long, text string, lang string")
+    for q in (ngrams.counts(df, 2), ngrams.probability(df, 2)):
+        assert "Exchange" not in q._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(period" not in ngrams.distribution(df, 2, "lang")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_added_up_whatever_is_held_at_once(spark, monkeypatch):
+    from lexgrove.operators import batches
+
+    monkeypatch.setattr(batches, "HELD", 3)
+    rng = __import__("random").Random(1)
+    words = [[rng.choice("abcdé") * rng.randint(1, 3) for _ in range(40)] for _ in range(30)]
+    t = [batches.pa.table({"ngram": w, "period": [str(i % 3)] * 40, "cnt": [1] * 40}) for i, w in enumerate(words)]
+    blobs = [b for b in batches.packed(lambda x: iter(t), ["ngram"], 7)(iter([]))]
+    where, got = {}, Counter()
+    for b in blobs:
+        for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for r in batches.pa.ipc.open_stream(blob).read_all().to_pylist():
+                assert where.setdefault(r["ngram"], bucket) == bucket
+    for s in batches.summed(["period", "ngram"])(iter(t)):
+        for r in s.to_pylist():
+            got[r["period"], r["ngram"]] += r["cnt"]
+    assert got == Counter((str(i % 3), x) for i, w in enumerate(words) for x in w)
+
+
+def test_divergences_of_many_keys(spark):
+    rng = __import__("random").Random(2)
+    p = {k: Counter(rng.choice("abcdefgh") for _ in range(20)) for k in range(6)}
+    dist = spark.createDataFrame([(k, g, c / 20) for k, x in p.items() for g, c in x.items()], "period int, ngram string, p double")
+    for r in stats.kl_divergence(dist, "period").collect():
+        a, b = p[r.p_key], p[r.q_key]
+        assert r.kl == pytest.approx(sum(a[g] / 20 * math.log2(a[g] / b[g]) for g in a if g in b), abs=1e-12)
+    for r in stats.js_divergence(dist, "period", symmetric=True).collect():
+        a, b = p[r.p_key], p[r.q_key]
+        h = lambda x, y: sum(x[g] / 20 * math.log2(2 * x[g] / (x[g] + y[g])) for g in x)
+        assert r.js == pytest.approx((h(a, b) + h(b, a)) / 2, abs=1e-12)
+
+
+def test_stats_by_ngram_are_those_of_the_counts(spark):
+    df = spark.createDataFrame([(i, t, "pq"[i % 2]) for i, t in enumerate(ODD)], "doc_id long, text string, lang string")
+    want = {r.ngram: (r.mean, r.variance, r.std_dev) for r in stats.analyze(ngrams.counts_by_period(df, 2, "lang", "doc_id", mode="sum"), "ngram").collect()}
+    got = {r.ngram: (r.mean, r.variance, r.std_dev) for r in ngrams.stats_by_ngram(df, 2, "lang").collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
