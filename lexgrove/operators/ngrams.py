@@ -116,7 +116,7 @@ def shares(table: DataFrame, key: str = "period", total: DataFrame | None = None
     return some.join(total, key).select(key, "ngram", (F.col("cnt") / F.col("total")).alias("p"))
 
 
-def _edges(w: pa.Array, n: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+def _edges(w: pa.Array, n: int, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, ...]]:
     """(row, src, dst, weight) of lists of words, at most about `most` words at once; a longer text is by itself."""
     size = pc.list_value_length(w).to_numpy(zero_copy_only=False).astype(np.int64)
     edge = np.concatenate([[0], np.cumsum(size)])
@@ -160,7 +160,7 @@ def cooccurrence(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     rows = docs.select(key, T.tokens("text").alias("w")).where(F.size("w") >= n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for batch in batches for x in B.slices(batch)):
             for row, src, dst, weight in _edges(batch.column(1), n):
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(src), pa.array(dst), pa.array(weight.astype(float))], names=[key, "src", "dst", "weight"])
 

@@ -203,3 +203,15 @@ def test_stats_by_ngram_are_those_of_the_counts(spark):
     want = {r.ngram: (r.mean, r.variance, r.std_dev) for r in stats.analyze(ngrams.counts_by_period(df, 2, "lang", "doc_id", mode="sum"), "ngram").collect()}
     got = {r.ngram: (r.mean, r.variance, r.std_dev) for r in ngrams.stats_by_ngram(df, 2, "lang").collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_cooccurrence_holds_few_words_at_once(spark):
+    """A batch of many texts is taken in pieces."""
+    import inspect
+
+    from lexgrove.operators import batches
+
+    assert inspect.signature(ngrams._edges).parameters["most"].default <= 1 << 17
+    batch = batches.pa.RecordBatch.from_pylist([{"k": i, "w": ["abc"] * 1000} for i in range(4000)])
+    sizes = [b.num_rows for b in batches.slices(batch)]
+    assert sum(sizes) == 4000 and max(sizes) * 1000 * 7 <= 1 << 23
