@@ -209,3 +209,27 @@ def test_stream_of_terms(spark, tmp_path):
     q = windowed_ngrams(stream, 1).writeStream.format("memory").queryName("terms").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.ngram, r.cnt) for r in spark.table("terms").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_pair_counts_and_first_words_are_those_of_the_rows(spark):
+    """Against pairs and positions one by one; rows of a key, repeats and empty rows among them."""
+    from collections import Counter
+
+    rng = __import__("random").Random(3)
+    rows = [(i // 2 * 7 % 11, [rng.choice("abcdefé") for _ in range(rng.randint(0, 9))]) for i in range(30)] + [(None, ["z", "a"]), (3, None), (4, [])]
+    d = spark.createDataFrame(rows, "doc_id long, words array<string>")
+    for window in (1, 2, 4):
+        want = Counter((r.word, r.context) for r in embeddings.pairs(d, window).collect())
+        assert {(r.word, r.context): r.cnt for r in embeddings.pair_counts(d, window).collect()} == want
+    first = {}
+    for k, w in rows:
+        for i, x in enumerate(w or []):
+            first[x] = min(first.get(x, (99, 0)), (-1 if k is None else k, i))
+    got = embeddings.first_words(d).groupBy("word").agg(F.min("pos").alias("pos")).collect()
+    assert {r.word: (-1 if r.pos.doc_id is None else r.pos.doc_id, r.pos.i) for r in got} == first
+
+
+def test_words_and_pairs_are_added_up_before_they_are_shuffled(spark):
+    """A row for each word of a batch and not for each place."""
+    d = spark.createDataFrame([(i, ["a", "b"] * 50) for i in range(40)], "doc_id long, words array<string>").coalesce(1)
+    assert embeddings.first_words(d).count() == 2
