@@ -283,12 +283,12 @@ def doc_frequency(spark, sf_dir):
 )
 def tfidf_corpus(spark, sf_dir):
     n = _t(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
-    return topics.tfidf(_bags(spark, sf_dir), n).withColumn("tfidf", _r(F.col("tfidf")))
+    return topics.tfidf(topics.bag_with_length(_words(spark, sf_dir)), n).withColumn("tfidf", _r(F.col("tfidf")))
 
 
 @_query(f"WITH {_BAG} SELECT doc_id, token, round(ln(sum(cnt) OVER (PARTITION BY doc_id) / cnt), 6) AS tfidf FROM bag")
 def tfidf_self(spark, sf_dir):
-    return topics.tfidf_self(_bags(spark, sf_dir)).withColumn("tfidf", _r(F.col("tfidf")))
+    return topics.tfidf_self(topics.bag_with_length(_words(spark, sf_dir))).withColumn("tfidf", _r(F.col("tfidf")))
 
 
 @_query(
@@ -571,8 +571,7 @@ def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT row_number() OVER (ORDER BY pos) - 1 AS idx, word FROM f"""
 )
 def sgns_vocab(spark, sf_dir):
-    flat = _plain(spark, sf_dir).select("doc_id", F.posexplode("words").alias("i", "word"))
-    return embeddings.vocabulary(flat.select(F.struct("doc_id", "i").alias("pos"), "word"))
+    return embeddings.vocabulary(embeddings.first_words(_plain(spark, sf_dir)))
 
 
 @_query(
@@ -580,7 +579,7 @@ def sgns_vocab(spark, sf_dir):
     AND b.i IN (a.i - 2, a.i - 1, a.i + 1, a.i + 2) WHERE a.word <> b.word GROUP BY ALL"""
 )
 def sgns_pairs(spark, sf_dir):
-    return embeddings.pairs(_plain(spark, sf_dir), 2).groupBy("word", "context").agg(F.count("*").alias("cnt"))
+    return embeddings.pair_counts(_plain(spark, sf_dir), 2)
 
 
 @_query(

@@ -139,3 +139,13 @@ def test_the_fit_from_starts_is_its_sql_where_it_takes_many_rounds(spark, tmp_pa
     con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     want = dict(con.execute(queries.oracle_sql()["kmeans_fit_from_starts"]).fetchall())
     assert {r.vec_id: r.cluster for r in queries.kmeans_fit_from_starts(spark, str(tmp_path)).collect()} == want
+
+
+def test_bags_are_counted_where_rows_are_read(spark):
+    """No exchange by key and token or by key: documents' words go through one exchange, by token, for their frequency."""
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["a"]), (3, []), (4, None)], "doc_id long, words array<string>")
+    bags = topics.bag_with_length(docs)
+    assert {tuple(r) for r in bags.collect()} == {(1, "a", 2, 3), (1, "b", 1, 3), (2, "a", 1, 1)}
+    assert "Exchange" not in topics.tfidf_self(bags)._jdf.queryExecution().executedPlan().toString()
+    shared = docs.union(spark.createDataFrame([(2, ["c", "a"]), (None, ["a"]), (None, ["a"])], docs.schema))
+    assert {tuple(r) for r in topics.bag_with_length(shared).collect()} == {(1, "a", 2, 3), (1, "b", 1, 3), (2, "a", 2, 3), (2, "c", 1, 3), (None, "a", 2, 2)}
