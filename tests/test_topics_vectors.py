@@ -149,3 +149,17 @@ def test_bags_are_counted_where_rows_are_read(spark):
     assert "Exchange" not in topics.tfidf_self(bags)._jdf.queryExecution().executedPlan().toString()
     shared = docs.union(spark.createDataFrame([(2, ["c", "a"]), (None, ["a"]), (None, ["a"])], docs.schema))
     assert {tuple(r) for r in topics.bag_with_length(shared).collect()} == {(1, "a", 2, 3), (1, "b", 1, 3), (2, "a", 2, 3), (2, "c", 1, 3), (None, "a", 2, 2)}
+
+
+def test_clusters_do_not_depend_on_the_cells(spark, monkeypatch):
+    """Many blocks of tokens and of documents give what one cell gives, and a round doesn't shuffle rows of words."""
+    rng = np.random.default_rng(6)
+    rows = [(i, f"w{int(t)}", float(x)) for i in range(50) for t, x in zip(rng.choice(300, 12, replace=False), rng.random(12), strict=True)]
+    w = spark.createDataFrame(rows, "doc_id long, token string, tfidf double")
+    keys = spark.createDataFrame([(i,) for i in range(53)], "doc_id long")
+    found = []
+    for tokens, cell in ((1 << 19, 1 << 21), (30, 9)):
+        monkeypatch.setattr(topics, "TOKENS", tokens)
+        monkeypatch.setattr(topics, "CELL", cell)
+        found.append({r.doc_id: r.cluster for r in topics.kmeans_terms(w, 5, seed=1, keys=keys).collect()})
+    assert found[0] == found[1] and set(found[0]) == set(range(53)) and len(set(found[0].values())) > 1
