@@ -233,3 +233,42 @@ def test_words_and_pairs_are_added_up_before_they_are_shuffled(spark):
     """A row for each word of a batch and not for each place."""
     d = spark.createDataFrame([(i, ["a", "b"] * 50) for i in range(40)], "doc_id long, words array<string>").coalesce(1)
     assert embeddings.first_words(d).count() == 2
+
+
+def test_negatives_of_all_blocks_are_uniform_and_never_the_target_or_twice():
+    """The cases of all blocks together: each pair once, and draws over all words, the same whatever the blocks."""
+    n, k, g = 11, 5, np.random.default_rng(3)
+    words = g.integers(0, n, (4000, 3))
+    whole = {}
+    for blocks in (1, 4):
+        found = []
+        for cell in range(blocks):
+            w = words[words[:, 0] % blocks == cell].astype(np.int32)
+            w[:, 1:][w[:, 1:] == w[:, :1]] = -1
+            w[:, 0] //= blocks
+            for block in range(blocks):
+                c, t, y = embeddings.cases(w, np.random.Generator(np.random.SFC64(7)), k, n, blocks, block)
+                found += list(zip((c * blocks + cell).tolist(), (t * blocks + block).tolist(), y.tolist(), strict=True))
+        whole[blocks] = found
+        want = sorted((int(c), int(t)) for c, *ts in words for t in ts if t != c)
+        assert sorted((c, t) for c, t, y in found if y) == want
+        share = np.bincount([t for _, t, y in found if not y], minlength=n) / len(want)
+        assert np.all(np.abs(share - share.mean()) < 0.05)
+        distinct = n * (1 - (1 - 1 / n) ** k) * (n - 1) / n  # words that k draws hit, without the target
+        assert abs(share.sum() - distinct) < 0.05
+    pair, seen = None, set()
+    for c, t, y in whole[1]:  # one block: a pair is followed by its negatives
+        seen = {t} if y else seen
+        assert y or t not in seen
+        seen.add(t)
+
+
+def test_training_writes_no_more_than_its_model_and_rounds_follow_the_tasks_at_once(spark, monkeypatch):
+    """Rounds hand vectors on in files: an epoch has as many rounds as tasks run at once, of which each leaves nothing behind."""
+    gone = []
+    real = embeddings.remove
+    monkeypatch.setattr(embeddings, "remove", lambda s, path: (gone.append(path), real(s, path)))
+    d = spark.createDataFrame([(i, [f"w{i}", f"w{i + 1}", "a"]) for i in range(3000)], "doc_id long, words array<string>")
+    m = embeddings.train(d, dim=4, window=1, negative=2, epochs=2)
+    assert len(gone) == 2 * spark.sparkContext.defaultParallelism
+    assert m.count() == 3002 and m.select("idx").distinct().count() == 3002
